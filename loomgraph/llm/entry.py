@@ -2,10 +2,24 @@
 
 from __future__ import annotations
 
+from .automaton import op9_automaton
 from .bpe import op1_bpe
+from .chat import op7_chat
+from .quality import op2_quality
+from .radix import op6_radix
+from .secrets import op5_secrets
+from .simhash import op10_simhash
+from .toxicity import op8_toxicity
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op2_quality": op2_quality,
+    "op5_secrets": op5_secrets,
+    "op6_radix": op6_radix,
+    "op7_chat": op7_chat,
+    "op8_toxicity": op8_toxicity,
+    "op9_automaton": op9_automaton,
+    "op10_simhash": op10_simhash,
 }
 
 ORACLES: dict[str, str] = {}
