@@ -212,3 +212,11 @@ def default_path() -> str:
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), default_path())
+
+
+def stage_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage, the last: every document as doc_id, source, lang, its token ids and their
+    number; encoding is checked by decoding on the way (an error stops the job)."""
+    path = default_path()
+    out = encode(docs.select("doc_id", "source", "lang", "text"), path)
+    return out.select("doc_id", "source", "lang", "ids", F.size("ids").cast("long").alias("n_tokens"))

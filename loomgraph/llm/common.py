@@ -139,6 +139,24 @@ def word_hashes(chunk: Chunk, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return span_hash(prefix_sums(byte_values(chunk.data)), start, end)
 
 
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32
+_MARK = np.zeros(256, bool)
+_MARK[list(b".,!?;:\"'()[]{}*_-")] = True
+
+
+def plain_hashes(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, text index) of every word, A-Z lower-cased and without up to three marks at its edges."""
+    low = Chunk(chunk.lo, _FOLD[chunk.data], chunk.offs)
+    start, end, of = low.words()
+    if not len(start):
+        return np.zeros(0, np.uint64), of
+    for _ in range(3):
+        end = end - ((end - start > 1) & _MARK[low.data[end - 1]])
+        start = start + ((end - start > 1) & _MARK[low.data[start]])
+    return word_hashes(low, start, end), of
+
+
 def window_hashes(values: np.ndarray, width: int) -> np.ndarray:
     """Hash of every run of `width` items (len(values) - width + 1 of them)."""
     n = len(values) - width + 1

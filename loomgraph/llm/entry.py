@@ -5,6 +5,8 @@ from __future__ import annotations
 from .automaton import op9_automaton
 from .bpe import op1_bpe
 from .chat import op7_chat
+from .decontaminate import op4_decontaminate
+from .masked_lm import op3_masked_lm
 from .quality import op2_quality
 from .radix import op6_radix
 from .secrets import op5_secrets
@@ -14,6 +16,8 @@ from .toxicity import op8_toxicity
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_quality": op2_quality,
+    "op3_masked_lm": op3_masked_lm,
+    "op4_decontaminate": op4_decontaminate,
     "op5_secrets": op5_secrets,
     "op6_radix": op6_radix,
     "op7_chat": op7_chat,

@@ -10,6 +10,10 @@ Equal fingerprints collapse to one entry before anything is compared, so copies
 bucket emits a spanning forest of its links, never all pairs. Classes are the connected components
 of those links, found by pointer jumping over distributed tables.
 
+`similar` serves the pipeline: documents of a Jaccard similarity of 0.8 or more on five-word shingles.
+At that similarity 64-bit fingerprints differ by 6 to 14 bits, which no small ball reaches, so links
+of fingerprints are joined by links through min-wise segments, verified on the texts' sketches.
+
 Defined cases: null and empty texts have fingerprint zero and link like any other; texts of fewer
 words than a shingle are one shingle of all their words; rows that repeat a doc_id are kept, each
 with the class of its own fingerprint; null doc_ids keep their row and never name a class unless no
@@ -27,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, saved, small_batches, table, text_array, work_folder
+from .common import Chunk, chunks, mix, prefix_sums, saved, small_batches, span_hash, table, text_array, word_hashes, work_folder
 
 BITS_APART = 3
 HOT = 400
@@ -156,3 +160,118 @@ def classes(docs: DataFrame, width: int = 3, apart: int = BITS_APART) -> DataFra
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = classes(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+# -- classes by similarity, for the pipeline ---------------------------------------------------
+SHINGLE, SIMILAR = 5, 0.8
+#: Segments of DRAWS min-wise hashes each: at a similarity of 0.8 one of them agrees in 99.9 of 100 pairs.
+SEGMENTS, DRAWS = 10, 3
+BINS = 256
+#: Beyond so many members a segment's bucket is split by the next segment as well.
+CROWD = 20000
+
+
+def _sketch(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
+    """Per text: SEGMENTS min-wise segments, and the least hash byte of each of BINS bins (0: empty)."""
+    n = chunk.n
+    start, end, of = chunk.words()
+    h = word_hashes(chunk, start, end)
+    first, last = np.searchsorted(of, np.arange(n)), np.searchsorted(of, np.arange(n), "right")
+    sums = prefix_sums(h)
+    e = np.minimum(np.arange(len(h)) + SHINGLE, last[of]) if len(h) else np.zeros(0, np.int64)
+    whole = (e - np.arange(len(h)) == SHINGLE) | (np.arange(len(h)) == first[of]) if len(h) else np.zeros(0, bool)
+    at = np.flatnonzero(whole)
+    g, t = span_hash(sums, at, e[at]), of[at]
+    segments = np.zeros((n, SEGMENTS), np.uint64)
+    bins = np.zeros((n, BINS), np.uint8)
+    if len(g):
+        some = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
+        draws = [np.minimum.reduceat(mix(g + np.uint64((0x9E3779B97F4A7C15 * (k + 1)) & (2**64 - 1))), some) for k in range(SEGMENTS * DRAWS)]
+        for s in range(SEGMENTS):
+            v = draws[s * DRAWS]
+            for d in draws[s * DRAWS + 1 : (s + 1) * DRAWS]:
+                v = mix(v * np.uint64(0x9E3779B97F4A7C15) + d)
+            segments[t[some], s] = v
+        low = (t.astype(np.int64) * BINS) + (g % np.uint64(BINS)).astype(np.int64)
+        order = np.lexsort((g, low))
+        k = low[order]
+        lead = order[np.r_[True, k[1:] != k[:-1]]]
+        bins.ravel()[low[lead]] = ((g[lead] >> np.uint64(40)) % np.uint64(255) + np.uint64(1)).astype(np.uint8)
+    return segments, bins
+
+
+def similarity(bins: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Jaccard similarity of each row of `bins` to the sketch `of`, from equal bins among those used,
+    corrected for chance agreement of bytes."""
+    used = ((bins != 0) | (of != 0)).sum(1)
+    same = ((bins == of) & (of != 0)).sum(1)
+    share = same / np.maximum(used, 1)
+    return np.where(used == 0, 1.0, (share - 1 / 255) / (1 - 1 / 255))
+
+
+def sketches(docs: DataFrame) -> DataFrame:
+    """doc_id, node (hash of the text), fp, segments and bins of every row."""
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = text_array(batch.column(2))
+            fps, segs, bins = [], [], []
+            for c in chunks(texts):
+                raw = c.data.tobytes().translate(_LOWER)
+                low = Chunk(c.lo, np.frombuffer(raw, np.uint8), c.offs)
+                fps += [fingerprint(raw[c.offs[i] : c.offs[i + 1]], SHINGLE) for i in range(c.n)]
+                a, b = _sketch(low)
+                segs += [x.tolist() for x in a.view(np.int64)]
+                bins += [x.tobytes() for x in b]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(segs, pa.list_(pa.int64())), pa.array(bins, pa.binary())], names=["doc_id", "node", "fp", "segments", "bins"])
+
+    return docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"), "text").mapInArrow(run, "doc_id long, node long, fp long, segments array<long>, bins binary")
+
+
+def _near(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Links of a spanning forest of the texts in a bucket that are similar enough."""
+    pdf = pdf.drop_duplicates("node")
+    rest = np.frombuffer(b"".join(pdf.bins), np.uint8).reshape(len(pdf), BINS)
+    nodes = pdf.node.to_numpy(np.int64)
+    out: list[tuple[int, int]] = []
+    while len(nodes) > 1:
+        queue = [(nodes[0], rest[0])]
+        nodes, rest = nodes[1:], rest[1:]
+        while queue and len(nodes):
+            node, sketch = queue.pop()
+            near = similarity(rest, sketch) >= SIMILAR
+            out += [(int(node), int(v)) for v in nodes[near]]
+            queue += list(zip(nodes[near], rest[near]))
+            nodes, rest = nodes[~near], rest[~near]
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+
+def similar(docs: DataFrame) -> DataFrame:
+    """(doc_id, node, stays): one row per distinct (doc_id, text hash) of `docs`; `stays` is true for
+    the smallest doc_id of each class (of equal ids the smallest hash)."""
+    folder = work_folder(docs.sparkSession)
+    rows = saved(sketches(docs.withColumn("doc_id", F.col("doc_id").cast("long"))), folder, "sketches")
+    texts = rows.dropDuplicates(["node"]).select("node", "fp", "segments", "bins")
+    keyed = texts.select("node", "segments", F.posexplode("segments").alias("segment", "key"))
+    sizes = keyed.groupBy("segment", "key").agg(F.count("*").alias("n")).where("n > 1")
+    met = keyed.join(sizes, ["segment", "key"]).withColumn("more", F.when(F.col("n") > CROWD, F.expr(f"segments[(segment + 1) % {SEGMENTS}]")).otherwise(F.lit(0)))
+    met = met.select("node", "segment", "key", "more").join(texts.select("node", "bins"), "node")
+    near = met.groupBy("segment", "key", "more").applyInPandas(_near, "a long, b long")
+    prints = texts.groupBy("fp").agg(F.min("node").alias("head"))
+    equal = texts.join(prints, "fp").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
+    close = links(prints.select("fp"), folder)
+    close = close.join(prints.selectExpr("fp as a", "head as x"), "a").join(prints.selectExpr("fp as b", "head as y"), "b").selectExpr("x as a", "y as b")
+    edges = saved(near.unionByName(equal).unionByName(close), folder, "near")
+    roots = components(edges, folder)
+    named = rows.select("doc_id", "node").distinct().join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    first = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("first"))
+    return named.join(first, "root").select("doc_id", "node", (F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.node") == F.col("node"))).alias("stays"))
+
+
+def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: one document of each class of near-duplicates stays."""
+    stays = similar(docs.select("doc_id", "text")).where("stays").select(F.col("doc_id").alias("_id"), F.col("node").alias("_node"))
+    keyed = docs.withColumn("_node", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn("_id", F.col("doc_id").cast("long"))
+    found = keyed.join(stays, keyed["_id"].eqNullSafe(stays["_id"]) & (keyed["_node"] == stays["_node"]), "left_semi")
+    return found.dropDuplicates(["_id", "_node"]).select(*docs.columns)

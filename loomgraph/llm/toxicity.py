@@ -20,29 +20,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Chunk, each_chunk, mix, small_batches, table, word_hashes
+from .common import Chunk, each_chunk, mix, plain_hashes, small_batches, table
 from .quality import labelled_sample
 
 BITS = 18
 #: The most labelled rows that learning looks at, chosen by a hash of doc_id.
 SAMPLE = 8000
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-# Marks at a word's edge do not count as part of it.
-_EDGE = np.zeros(256, bool)
-_EDGE[list(b".,!?;:\"'()[]{}*_-")] = True
 
 
 def grams(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
     """(text index, hashed feature) of every n-gram occurrence."""
-    low = Chunk(chunk.lo, _LOWER[chunk.data], chunk.offs)
-    start, end, of = low.words()
-    for _ in range(3):
-        more = (end - start > 1) & _EDGE[low.data[np.maximum(end - 1, 0)]]
-        end = end - more
-        more = (end - start > 1) & _EDGE[low.data[np.minimum(start, max(len(low.data) - 1, 0))]] if len(start) else more
-        start = start + more
-    h = word_hashes(low, start, end)
+    h, of = plain_hashes(chunk)
     parts = [(of, h)]
     for gap, salt in ((1, 0xA24BAED4963EE407), (2, 0x9FB21C651E98DF25)):
         if len(h) > gap:
