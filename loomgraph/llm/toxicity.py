@@ -25,7 +25,7 @@ from .quality import labelled_sample
 
 BITS = 18
 #: The most labelled rows that learning looks at, chosen by a hash of doc_id.
-SAMPLE = 8000
+SAMPLE = 12000
 
 
 def grams(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
@@ -51,7 +51,7 @@ class Model:
         return w
 
 
-def learn(rows: list[np.ndarray], y: np.ndarray, *, alpha: float = 0.15, beta: float = 1.0, l1: float = 2.0, l2: float = 1.0, epochs: int = 3) -> Model:
+def learn(rows: list[np.ndarray], y: np.ndarray, *, alpha: float = 1.5, beta: float = 1.0, l1: float = 6.0, l2: float = 1.0, epochs: int = 5) -> Model:
     """FTRL-proximal, one row at a time, over rows of distinct feature numbers."""
     z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
     bias = 1 << BITS
