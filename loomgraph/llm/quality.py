@@ -27,7 +27,7 @@ from .common import each_chunk, small_batches, table, window_hashes, word_hashes
 #: The most labelled rows that learning looks at, chosen by a hash of doc_id.
 SAMPLE = 12000
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-MORE = ["n_lines", "n_upper", "n_digits", "n_marks", "n_distinct_words"]
+MORE = ["n_lines", "n_upper", "n_digits", "n_marks"]
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 _UPPER = np.zeros(256, bool)
@@ -70,13 +70,6 @@ def measure(chunk) -> list[np.ndarray]:
         np.add.at(edge, hit + _REPEAT, -1)
         covered = np.cumsum(edge[:-1]) > 0
         repeat = np.bincount(of[covered], minlength=n)
-    distinct = np.zeros(n, np.int64)
-    if len(hashes):
-        order = np.lexsort((hashes, of))
-        h, t = hashes[order], of[order]
-        fresh = np.ones(len(h), bool)
-        fresh[1:] = (h[1:] != h[:-1]) | (t[1:] != t[:-1])
-        distinct = np.bincount(t[fresh], minlength=n)
     dup, lines = np.zeros(n, np.int64), np.zeros(n, np.int64)
     raw = data.tobytes()
     for i in range(n):
@@ -97,7 +90,6 @@ def measure(chunk) -> list[np.ndarray]:
         _per_text(chunk, _UPPER[data]),
         _per_text(chunk, _DIGIT[data]),
         _per_text(chunk, _MARK[data]),
-        distinct,
     ]
 
 
@@ -120,17 +112,15 @@ def statistics(docs: DataFrame, keep: bool = False) -> DataFrame:
     return source.mapInArrow(run, schema)
 
 
-#: Ratios that conditions may test; each is defined for every row.
+#: Ratios that conditions may test; each is defined for every row and none falls or rises with a
+#: text's length or language alone: long clean texts look like short ones, and long words are no fault.
 FEATURES: dict[str, tuple[str, str]] = {
-    "chars_per_word": ("word_chars", "n_words"),
     "symbols_per_word": ("n_symbols", "n_words"),
     "dup_line_share": ("n_dup_lines", "n_lines"),
     "repeat_share": ("n_repeat_words", "n_words"),
     "upper_share": ("n_upper", "word_chars"),
     "digit_share": ("n_digits", "word_chars"),
     "marks_per_word": ("n_marks", "n_words"),
-    "words_per_line": ("n_words", "n_lines"),
-    "distinct_share": ("n_distinct_words", "n_words"),
 }
 
 

@@ -80,8 +80,8 @@ def test_quality_learns_thresholds():
     x = rng.uniform(0, 0.4, (3000, len(quality.FEATURES)))
     bad = np.zeros(3000, bool)
     bad[:300] = True
-    x[:150, 1] = 0.9
-    x[150:300, 4] = 0.8
+    x[:150, 0] = 0.9
+    x[150:300, 3] = 0.8
     rules = quality.learn_list(x, bad)
     hit = np.zeros(3000, bool)
     for r in rules:
