@@ -21,7 +21,12 @@ class Glob:
     stars: int  # a double star counts as two
 
     def matches(self, path: Column) -> Column:
-        return path.rlike(self.regex)
+        """A plain prefix test where the glob is one, else the regular expression behind its literal
+        prefix, which turns most paths away without a regular expression."""
+        head = self.text[: self.prefix]
+        if self.text == head + "**" and head.endswith("/"):
+            return path.startswith(head)
+        return path.startswith(head) & path.rlike(self.regex) if head else path.rlike(self.regex)
 
     def test(self, path: str) -> bool:
         return re.search(self.regex, path) is not None

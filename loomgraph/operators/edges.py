@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import specifier_prefix, target_tags
 from ..sources.config import Config
-from .membership import is_surface, module_of, tags_of
+from .membership import computed, module_of, owner_of, tags_of
 
 
 def resolve(imports: DataFrame, resolutions: DataFrame) -> DataFrame:
@@ -18,10 +18,10 @@ def resolve(imports: DataFrame, resolutions: DataFrame) -> DataFrame:
 def with_membership(edges: DataFrame, config: Config) -> DataFrame:
     """Edges (from_file, resolved_file, external_package, ...) with modules, tags and the target's
     surface flag. All of it is computed within the row, so no file table is joined."""
-    out = edges.withColumns({"from_module": module_of(F.col("from_file"), config), "to_module": module_of(F.col("resolved_file"), config), "from_tags": tags_of(F.col("from_file"), config)})
     builtin = F.col("is_builtin") if "is_builtin" in edges.columns else F.lit(False)
-    out = out.withColumn("to_tags", target_tags(F.col("external_package"), builtin, tags_of(F.col("resolved_file"), config)))
-    return out.withColumn("to_surface", F.col("to_module").isNotNull() & is_surface(F.col("resolved_file"), F.col("to_module"), config))
+    target = target_tags(F.col("external_package"), builtin, tags_of(F.col("resolved_file"), config))
+    out = computed(edges, from_module=module_of(F.col("from_file"), config), from_tags=tags_of(F.col("from_file"), config), to_tags=target, _to=owner_of(F.col("resolved_file"), config))
+    return out.select("*", F.col("_to.name").alias("to_module"), F.coalesce("_to.surface", F.lit(False)).alias("to_surface")).drop("_to")
 
 
 def cross_module(edges: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..errors import ReportError
 from ..functions.expressions import directory_tag
-from ..functions.globs import Glob, compile_glob, relative_glob
+from ..functions.globs import Glob, any_match, compile_glob, relative_glob
 from ..sources.config import Config, Module
 
 
@@ -24,10 +24,12 @@ def _candidates(path: Column, entries: Sequence[tuple[Glob, Column]]) -> Column:
 
 
 def best_match(path: Column, entries: Sequence[tuple[Glob, Column]]) -> Column:
-    """The value of the most specific matching entry (the earliest among equals), else null."""
-    if not entries:
-        return F.lit(None).cast("string")
-    return F.array_max(_candidates(path, entries)).getField("value")
+    """The value of the most specific matching entry (the earliest among equals), else null: a chain
+    of conditions in order of specificity, which stops at the first that holds."""
+    out = None
+    for g, value in sorted(entries, key=lambda e: (-e[0].prefix, e[0].stars)):
+        out = F.when(g.matches(path), value) if out is None else out.when(g.matches(path), value)
+    return out if out is not None else F.lit(None).cast("string")
 
 
 def ambiguous(path: Column, entries: Sequence[tuple[Glob, Column]]) -> Column:
@@ -61,8 +63,9 @@ def module_of(path: Column, config: Config) -> Column:
 
 def tags_of(path: Column, config: Config) -> Column:
     """Tags of the best classify entry in their order, then the directory's tag."""
-    joined = best_match(path, tag_entries(config))
-    tags = F.when(joined.isNull() | (joined == ""), F.array().cast("array<string>")).otherwise(F.split(joined, "\n"))
+    none = F.array().cast("array<string>")
+    entries = [(compile_glob(c.glob), F.array(*map(F.lit, c.tags)).cast("array<string>")) for c in config.classify]
+    tags = F.coalesce(best_match(path, entries), none) if entries else none
     if config.directory_namespace is None:
         return tags
     tag = directory_tag(path, list(config.directory_names), config.directory_namespace)
@@ -74,21 +77,25 @@ def surface_globs(module: Module, config: Config) -> list[str]:
     return [relative_glob(module.globs[0], g) if not g.startswith("src/") else g for g in (module.surface or config.surface)]
 
 
-def is_surface(path: Column, module: Column, config: Config) -> Column:
-    """Whether `path` is one of the public files of `module`."""
-    out = F.lit(False)
-    for m in config.modules:
-        hit = F.lit(False)
-        for g in surface_globs(m, config):
-            hit = hit | compile_glob(g).matches(path)
-        out = F.when(module == m.name, hit).otherwise(out)
-    return F.coalesce(out, F.lit(False))
+def owner_of(path: Column, config: Config) -> Column:
+    """struct<name, surface> of a path: its module, and whether it is one of that module's public
+    files. One chain of conditions, so no module is tested against another's surface."""
+    entries = [(compile_glob(g), F.struct(F.lit(m.name).alias("name"), any_match(path, surface_globs(m, config)).alias("surface"))) for m in config.modules for g in m.globs]
+    none = F.struct(F.lit(None).cast("string").alias("name"), F.lit(False).alias("surface"))
+    return F.coalesce(best_match(path, entries), none) if entries else none
+
+
+def computed(df: DataFrame, **columns: Column) -> DataFrame:
+    """`df` with columns that are computed once a row. They pass a generator, through which the
+    optimiser does not push filters on them: a filter over five uses of a long chain of conditions
+    would otherwise evaluate the chain five times and outgrow what the JVM compiles."""
+    return df.select("*", F.inline(F.array(F.struct(*(c.alias(k) for k, c in columns.items())))))
 
 
 def files_with_membership(files: DataFrame, config: Config) -> DataFrame:
     """`files` (path) with module, tags and surface."""
-    out = files.withColumn("module", module_of(F.col("path"), config)).withColumn("tags", tags_of(F.col("path"), config))
-    return out.withColumn("surface", F.col("module").isNotNull() & is_surface(F.col("path"), F.col("module"), config))
+    out = computed(files, _owner=owner_of(F.col("path"), config), tags=tags_of(F.col("path"), config))
+    return out.select("*", F.col("_owner.name").alias("module"), F.col("_owner.surface").alias("surface")).drop("_owner")
 
 
 def assert_unambiguous(files: DataFrame, config: Config) -> None:

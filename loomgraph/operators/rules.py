@@ -17,7 +17,7 @@ from ..functions.expressions import edge_filter, first_value, namespace_values
 from ..functions.globs import compile_glob
 from ..sources.config import Config, Predicate
 from .edges import cross_module
-from .membership import _candidates, surface_globs, tag_entries
+from .membership import best_match, surface_globs, tag_entries
 
 FINDING = ["rule", "path", "line", "col", "evidence", "todo_module", "specifier", "target"]
 
@@ -205,8 +205,8 @@ def empty_rules(edges: DataFrame, files: DataFrame, config: Config) -> DataFrame
     if globs:
         counts = [F.sum(F.when(compile_glob(g).matches(F.col("path")) & (F.col("module") == m if m else F.lit(True)), 1).otherwise(0)).alias(f"c{i}") for i, (_, _, g, m) in enumerate(globs)]
         entries = tag_entries(config)
-        won = F.array_max(_candidates(F.col("path"), entries)) if entries else None
-        wins = [F.sum(F.when(compile_glob(c.glob).matches(F.col("path")) & (won["value"] == "\n".join(c.tags)), 1).otherwise(0)).alias(f"w{i}") for i, c in enumerate(config.classify)]
+        won = best_match(F.col("path"), entries)
+        wins = [F.sum(F.when(compile_glob(c.glob).matches(F.col("path")) & (won == "\n".join(c.tags)), 1).otherwise(0)).alias(f"w{i}") for i, c in enumerate(config.classify)]
         one = files.agg(*counts, *wins)
         shown = [F.struct(F.lit(k).alias("what"), F.lit(f"{n}: {g}").alias("name"), F.col(f"c{i}").alias("n"), F.lit("matches no file").alias("reason")) for i, (k, n, g, _) in enumerate(globs)]
         shown += [F.struct(F.lit("classify").alias("what"), F.lit(f"{c.glob}: {c.glob}").alias("name"), F.when(F.col(f"c{len(globs) - len(config.classify) + i}") > 0, F.col(f"w{i}")).otherwise(1).alias("n"), F.lit("loses every match").alias("reason")) for i, c in enumerate(config.classify)]
