@@ -93,19 +93,19 @@ def measure(chunk) -> list[np.ndarray]:
     ]
 
 
-def statistics(docs: DataFrame, keep: bool = False) -> DataFrame:
+def statistics(docs: DataFrame, keep: bool = False, text: str = "text") -> DataFrame:
     """doc_id and the statistics of every row of `docs`; with `keep`, all its columns as well
-    (columns that clash with a statistic are replaced by it)."""
+    (columns that clash with a statistic are replaced by it; `stage_quality` renames them first)."""
     small_batches(docs.sparkSession)
     stats = [*BASE, *MORE]
     kept = [c for c in docs.columns if c not in stats] if keep else ["doc_id"]
     fields = {f.name: f.dataType.simpleString() for f in docs.schema}
     schema = ", ".join([*(f"`{c}` {fields[c]}" for c in kept), *(f"{s} long" for s in stats)])
-    source = docs.select(*dict.fromkeys([*kept, "text"]))
+    source = docs.select(*dict.fromkeys([*kept, text]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [measure(c) for c in each_chunk(batch)]
+            parts = [measure(c) for c in each_chunk(batch, text)]
             cols = [np.concatenate([p[k] for p in parts]) if parts else np.zeros(0) for k in range(len(stats))]
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in kept), *(pa.array(c.astype(np.int64)) for c in cols)], names=[*kept, *stats])
 
@@ -249,9 +249,9 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[Rule
     return learn_list(got[list(FEATURES)].to_numpy(float), got.y.to_numpy() == 0)
 
 
-def judged(docs: DataFrame, rules: list[Rule], keep: bool = False) -> DataFrame:
+def judged(docs: DataFrame, rules: list[Rule], keep: bool = False, text: str = "text") -> DataFrame:
     """Statistics with base_failed, the first rule that holds, and kept."""
-    out = statistics(docs, keep).withColumn("base_failed", base_failed()).withColumn("rule", verdict(rules))
+    out = statistics(docs, keep, text).withColumn("base_failed", base_failed()).withColumn("rule", verdict(rules))
     return out.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
 
 
@@ -264,4 +264,6 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that fail the base rule or the learned list go."""
     rules = learn(docs, table(spark, sf_dir, "labels"))
-    return judged(docs, rules, keep=True).where("kept").select(*docs.columns)
+    names = [f"_c{i}" for i in range(len(docs.columns))]  # no column of docs clashes with a statistic
+    out = judged(docs.toDF(*names), rules, keep=True, text=names[docs.columns.index("text")]).where("kept")
+    return out.select(*(F.col(n).alias(c) for n, c in zip(names, docs.columns)))

@@ -132,6 +132,7 @@ def test_pipeline_stages(spark, staged):
     assert not {5000, 5001} & ids[1] and {5002, 5003} <= ids[1]
     assert 5002 in ids[2] and 5004 not in ids[2]
     assert near.count() == len(ids[2])
+    assert near.select("kept", "n_words").distinct().collect() == [("x", 1)]
     row = secret.where("doc_id = 5002").first()
     assert "AKIA" not in row.text and "[SECRET]" in row.text
     bench = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
