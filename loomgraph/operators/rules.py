@@ -17,7 +17,7 @@ from ..functions.expressions import edge_filter, first_value, namespace_values
 from ..functions.globs import compile_glob
 from ..sources.config import Config, Predicate
 from .edges import cross_module
-from .membership import best_match, surface_globs, tag_entries
+from .membership import best_match, computed, surface_globs, tag_entries
 
 FINDING = ["rule", "path", "line", "col", "evidence", "todo_module", "specifier", "target"]
 
@@ -49,12 +49,9 @@ def _outside(names: Sequence[str]) -> Callable[[Column], Column]:
     return lambda v: ~F.array_contains(_strings(names), v)
 
 
-def _named(kind: str) -> Callable[[Column], Column]:
-    return lambda r: F.struct(F.lit(kind).alias("rule"), r["ord"].alias("ord"), r["evaluated"].alias("evaluated"), r["evidence"].alias("evidence"))
-
-
-def _result(number: int, evaluated: Column, evidence: Column) -> Column:
-    return F.struct(F.lit(number).alias("ord"), F.coalesce(evaluated, F.lit(False)).alias("evaluated"), F.when(evaluated, evidence).alias("evidence"))
+def _result(kind: str, number: int, looked: Column, evidence: Column) -> Column:
+    """What a rule says of an edge: null if it did not look, else its evidence (null: fine)."""
+    return F.when(looked, F.struct(F.lit(kind).alias("rule"), F.lit(number).alias("ord"), evidence.alias("evidence")))
 
 
 def allow_deny_results(config: Config) -> list[Column]:
@@ -69,24 +66,24 @@ def allow_deny_results(config: Config) -> list[Column]:
         # allow goes before deny where both are given
         bad = F.get(F.filter(values, _outside(r.allow) if r.allow is not None else _within(r.deny)), F.lit(0))
         text = F.concat(F.lit(f"{r.source} must not depend on {r.namespace}:"), bad)
-        out.append(_result(i, looked, text))
+        out.append(_result("tag-boundary", i, looked, text))
     return out
 
 
 def order_results(config: Config) -> list[Column]:
     out = []
     for i, r in enumerate(config.order):
-        a, b = first_value(F.col("from_tags"), r.namespace), first_value(F.col("to_tags"), r.namespace)
+        a, b = F.col(f"_from_{r.namespace}"), F.col(f"_to_{r.namespace}")
         scope, same = F.lit(""), F.lit(True)
         if r.within is not None:
-            scope = first_value(F.col("from_tags"), r.within)
-            same = scope.isNotNull() & (scope == first_value(F.col("to_tags"), r.within))
+            scope = F.col(f"_from_{r.within}")
+            same = scope.isNotNull() & (scope == F.col(f"_to_{r.within}"))
         sequence = F.lit(None).cast("array<string>")
         for name, layers in r.sequence.items():
             sequence = F.when(scope == name, _strings(layers)).otherwise(sequence)
         looked = (F.size("from_tags") > 0) & (F.size("to_tags") > 0) & edge_filter(r.edge_type, r.import_form) & a.isNotNull() & b.isNotNull() & same & sequence.isNotNull()
         text = F.when(F.array_position(sequence, b) > F.array_position(sequence, a), F.concat(a, F.lit(" must not depend on "), b, F.lit(" (sequence: "), F.array_join(sequence, " < "), F.lit(")")))
-        out.append(_result(i, looked, text))
+        out.append(_result("tag-order", i, looked, text))
     return out
 
 
@@ -109,20 +106,21 @@ def point_results(config: Config) -> list[Column]:
     for i, r in enumerate(config.point):
         looked = edge_filter(r.edge_type, r.import_form) & matches(r.origin, F.col("from_file"), F.col("from_tags"))
         hit = matches(r.target, F.col("resolved_file"), F.col("to_tags"))
-        out.append(_result(i, looked, F.when(hit, F.concat(F.lit("forbidden: "), F.col("from_file"), F.lit(" -> "), F.coalesce("resolved_file", "external_package")))))
+        out.append(_result("point-rule", i, looked, F.when(hit, F.concat(F.lit("forbidden: "), F.col("from_file"), F.lit(" -> "), F.coalesce("resolved_file", "external_package")))))
     return out
 
 
-KINDS = {"tag-boundary": allow_deny_results, "tag-order": order_results, "point-rule": point_results}
-
-
 def evaluated(edges: DataFrame, config: Config) -> DataFrame:
-    """One row per edge and rule that looked at it: rule, ord, evidence (null: fine), and the edge."""
-    parts = [F.transform(F.array(*f(config)), _named(k)) for k, f in KINDS.items() if f(config)]
-    if not parts:
+    """One row per edge and rule that looked at it: rule, ord, evidence (null: fine), and the edge.
+
+    Values that order rules compare are computed once a row, whatever the number of rules."""
+    names = sorted({n for r in config.order for n in (r.namespace, r.within) if n is not None})
+    values = {f"_{end}_{n}": first_value(F.col(f"{end}_tags"), n) for n in names for end in ("from", "to")}
+    rows = computed(edges, **values) if values else edges
+    results = [*allow_deny_results(config), *order_results(config), *point_results(config)]
+    if not results:
         return edges.withColumns({"rule": F.lit(""), "ord": F.lit(0), "evidence": F.lit(None).cast("string")}).where(F.lit(False))
-    looked = F.filter(F.concat(*parts), lambda r: r["evaluated"])
-    return edges.withColumn("_r", F.explode(looked)).withColumns({"rule": F.col("_r.rule"), "ord": F.col("_r.ord"), "evidence": F.col("_r.evidence")}).drop("_r")
+    return rows.select(*edges.columns, F.inline(F.array_compact(F.array(*results))))
 
 
 def edge_findings(edges: DataFrame, config: Config) -> DataFrame:

@@ -125,7 +125,7 @@ def test_check(spark, small):
     only = edges.with_membership(raw, config)
     assert cycles.cycle_findings(only).first().evidence == "a -> b -> c -> a"
     frozen = ledger.freeze(result.findings.where("rule = 'tag-order'"), (), 0)
-    assert frozen.count() == 2
+    assert frozen.count() == 1
     marked = ledger.suppress(result.findings, frozen)
     assert marked.where("frozen").count() == 3 and check.blocks(marked)
     changed = check.simulate(raw, files, raw.limit(0), spark.createDataFrame([("src/c/k.ts", "delete")], "path string, op string"), config)
