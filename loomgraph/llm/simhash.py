@@ -112,14 +112,16 @@ def links(distinct: DataFrame, folder: str, apart: int = BITS_APART) -> DataFram
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(_forest(np.unique(pdf.fp.to_numpy(np.int64)), apart), columns=["a", "b"], dtype="int64")
 
-    usual = met.where(F.col("n") <= HOT).groupBy("half", "key").applyInPandas(solve, "a long, b long")
+    # many tiny groups: few bytes but much work, so partitions are not left to their size in bytes
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    usual = met.where(F.col("n") <= HOT).repartition(parts, "half", "key").groupBy("half", "key").applyInPandas(solve, "a long, b long")
     value = lambda q: f"(shiftrightunsigned(fp, 32 * (1 - half) + {16 * q}) & 65535L)"
     quarters = None
     for q in (0, 1):
         v = value(q)
         part = met.where(F.col("n") > HOT).selectExpr("fp", "half", "key", f"{q} as quarter", f"explode(concat(array({v}), transform(filter(sequence(0, 15), b -> ({v} & shiftleft(1L, b)) = 0), b -> {v} | shiftleft(1L, b)))) as sub")
         quarters = part if quarters is None else quarters.unionByName(part)
-    hot = quarters.groupBy("half", "key", "quarter", "sub").applyInPandas(solve, "a long, b long")
+    hot = quarters.repartition(parts, "half", "key", "quarter", "sub").groupBy("half", "key", "quarter", "sub").applyInPandas(solve, "a long, b long")
     return saved(usual.unionByName(hot).distinct(), folder, "links")
 
 
