@@ -12,6 +12,7 @@ from collections import defaultdict, deque
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..errors import ReportError
 from .edges import cross_module
 
 SMALL = 200_000
@@ -139,11 +140,15 @@ def cycle_findings(edges: DataFrame, ignored: tuple[tuple[str, str], ...] = ())
     """One finding per component that no ignored pair lies in: anchor, size and a shortest cycle."""
     spark = edges.sparkSession
     members = defaultdict(set)
-    for r in components(edges).collect():  # modules on cycles of a small graph
+    on_cycles = components(edges).limit(SMALL + 1).collect()
+    if len(on_cycles) > SMALL:
+        raise ReportError(f"More than {SMALL} modules lie on cycles.", "Use components() and declare coarser modules.")
+    for r in on_cycles:
         members[r.anchor].add(r.module)
     keep = {a: m for a, m in members.items() if not any(x in m and y in m for x, y in ignored)}
     inside = {m for ms in keep.values() for m in ms}
-    pairs = [(r.from_module, r.to_module) for r in module_pairs(edges).select("from_module", "to_module").collect() if r.from_module in inside and r.to_module in inside]
+    both = module_pairs(edges).select("from_module", "to_module").where(F.col("from_module").isin(*inside) & F.col("to_module").isin(*inside) if inside else F.lit(False))
+    pairs = [(r.from_module, r.to_module) for r in both.collect()]
     rows = [(a, len(m), " -> ".join(shortest_cycle([p for p in pairs if p[0] in m and p[1] in m], a))) for a, m in keep.items()]
     return spark.createDataFrame(rows, "anchor string, size int, evidence string")
 
