@@ -259,7 +259,8 @@ def similar(docs: DataFrame) -> DataFrame:
     sizes = keyed.groupBy("segment", "key").agg(F.count("*").alias("n")).where("n > 1")
     met = keyed.join(sizes, ["segment", "key"]).withColumn("more", F.when(F.col("n") > CROWD, F.expr(f"segments[(segment + 1) % {SEGMENTS}]")).otherwise(F.lit(0)))
     met = met.select("node", "segment", "key", "more").join(texts.select("node", "bins"), "node")
-    near = met.groupBy("segment", "key", "more").applyInPandas(_near, "a long, b long")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    near = met.repartition(parts, "segment", "key", "more").groupBy("segment", "key", "more").applyInPandas(_near, "a long, b long")
     prints = texts.groupBy("fp").agg(F.min("node").alias("head"))
     equal = texts.join(prints, "fp").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
     close = links(prints.select("fp"), folder)
