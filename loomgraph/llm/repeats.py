@@ -4,7 +4,9 @@ A window of `width` tokens is found through an anchor: the gram of `gram` tokens
 hash is least (leftmost among equals). Equal windows hold equal anchors at equal offsets, so it is
 enough to bring together the contexts of equal anchors, a small part of all positions:
 
-1. Every anchor is keyed by its gram and by a hash of its whole context (all windows that hold it).
+1. Every anchor is keyed by its gram and by a 64-bit hash of its whole context (all windows that hold
+   it). The gram travels as its hash's upper half and its bucket: grams that clash only meet in the
+   exact kernel.
    Anchors of equal gram and context in a greater document are repeats as they stand; those of the
    smallest document of each context are compared further only if the gram has several contexts.
 2. For the latter the contexts themselves are fetched and given to an exact `kernel` (radix sort or
@@ -202,7 +204,9 @@ def _shipped(parts: list[tuple[np.ndarray, ...]], plan: Plan) -> Iterator[tuple[
     a = {k: v[least] for k, v in a.items()}
     if not plan.tagged:
         a.pop("tag")
-    for b, blob in split((a["gram"] % np.uint64(plan.buckets)).astype(np.int64), a):
+    bucket = (a["gram"] % np.uint64(plan.buckets)).astype(np.int64)
+    a["gram"] = (a["gram"] >> np.uint64(32)).astype(np.uint32)
+    for b, blob in split(bucket, a):
         yield "key", b, blob
 
 
@@ -219,7 +223,7 @@ def _anchor_rows(plan: Plan):
                 of = of + chunk.lo
                 ok = known[of] if len(of) else np.zeros(0, bool)
                 if len(of):
-                    parts.append((docs[of][ok], tags[of][ok].astype(np.uint16), pos[ok], gram[ok], (ctx[ok] >> np.uint64(32)).astype(np.uint32), left[ok].astype(np.uint8), right[ok].astype(np.uint8)))
+                    parts.append((docs[of][ok], tags[of][ok].astype(np.uint16), pos[ok], gram[ok], ctx[ok], left[ok].astype(np.uint8), right[ok].astype(np.uint8)))
                     held += int(ok.sum())
                 if held >= FLUSH:
                     yield rows_of(list(_shipped(parts, plan)))
@@ -240,6 +244,7 @@ def _resolve(plan: Plan):
         a = gather(pdf.data)
         if not plan.tagged:
             a["tag"] = np.zeros(len(a["doc"]), np.uint16)
+        a["gram"] = (a["gram"].astype(np.uint64) << np.uint64(32)) | np.uint64(bucket)
         order, least = _classes(a)
         a = {k: v[order] for k, v in a.items()}
         rows = list(_spans({k: v[~least] for k, v in a.items()}, plan)) if not least.all() else []

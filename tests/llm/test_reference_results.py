@@ -127,6 +127,16 @@ def test_repeats_with_shared_ids(spark):
     assert got == [(1, 15, 0), (1, 18, 0), (2, 15, 15), (2, 17, 15)] or got == [(1, 16, 0), (1, 19, 0), (2, 16, 16), (2, 18, 16)]
 
 
+def test_contexts_whose_hashes_share_their_upper_half(spark):
+    """Two contexts of one gram whose 64-bit hashes agree in the upper 32 bits, found by search."""
+    texts = []
+    for k in (105479, 115418):
+        h = hashlib.sha256(str(k).encode()).hexdigest()
+        texts.append(h[:30] + "6e4d1562ff0694b10b80" + h[30:60])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: bytes(r.kept).decode() for r in radix.without_repeats(df).collect()} == dict(enumerate(texts))
+
+
 def test_hot_grams_are_split_by_window(spark, monkeypatch):
     from loomgraph.llm import repeats
 
