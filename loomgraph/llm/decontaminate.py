@@ -2,7 +2,8 @@
 
 Document frequencies come from every document. The TF-IDF passages of the benchmark are decomposed
 by a distributed randomised SVD (partial products per task, summed by blocks of features), which
-gives each item a latent vector. Every document is cut into overlapping passages; passages whose
+gives each item a latent vector. A latent space serves at most `GROUP` items and has as many
+dimensions, so it holds each item's own vector unshrunk. Every document is cut into overlapping passages; passages whose
 TF-IDF mass lies in the benchmark's vocabulary are projected, and items within a latent cosine are
 candidates. A candidate is a leak if the longest common subsequence of words covers enough of the
 item and the item's answer is there: the words after its last question mark or, without one, the
@@ -32,7 +33,7 @@ from .common import each_chunk, plain_hashes, small_batches, table, text_array
 
 BITS = 17
 FEATURES = 1 << BITS
-RANK, OVERSAMPLE = 160, 16
+GROUP, OVERSAMPLE = 250, 16
 PASSAGE, STRIDE = 48, 16
 COSINE, COVERED, ANSWERED = 0.25, 0.6, 0.6
 BLOCK = 5000
@@ -102,7 +103,7 @@ def _times(row: np.ndarray, n: int, f: np.ndarray, w: np.ndarray, m: np.ndarray)
     return out
 
 
-def randomised_svd(passages: DataFrame, idf: np.ndarray, used: np.ndarray, rank: int = RANK) -> np.ndarray:
+def randomised_svd(passages: DataFrame, idf: np.ndarray, used: np.ndarray, rank: int) -> np.ndarray:
     """Right singular vectors (len(used), <= rank) of the TF-IDF matrix of `passages` (text), over
     the features `used`. Two passes: a sketch of the row space, then the Gram matrix within it."""
     place = np.full(FEATURES, -1, np.int64)
@@ -142,7 +143,7 @@ def randomised_svd(passages: DataFrame, idf: np.ndarray, used: np.ndarray, rank:
 
 @dataclass
 class Index:
-    """One block of the benchmark: its latent space and what the final checks need."""
+    """One group of the benchmark: its latent space and what the final checks need."""
 
     ids: list
     words: list[list[int]]
@@ -153,9 +154,19 @@ class Index:
     idf: np.ndarray
 
 
-def index(items: DataFrame, idf: np.ndarray) -> Index:
-    """Index of one block of at most BLOCK items (item_id, text)."""
+def indexes(items: DataFrame, idf: np.ndarray) -> list[Index]:
+    """Indexes of the groups of one block of about BLOCK items (item_id, text)."""
     got = items.select("item_id", "text").toArrow().sort_by([("item_id", "ascending"), ("text", "ascending")])
+    k = -(-len(got) // GROUP)
+    if k <= 1:
+        return [_index(items, got, idf)]
+    cut = [len(got) * g // k for g in range(k + 1)]
+    groups = [got.slice(lo, hi - lo) for lo, hi in zip(cut, cut[1:])]
+    return [_index(items.sparkSession.createDataFrame(g), g, idf) for g in groups]
+
+
+def _index(items: DataFrame, got: pa.Table, idf: np.ndarray) -> Index:
+    """Index of one group, given as a table too."""
     ids, texts = got["item_id"].to_pylist(), text_array(got["text"])
     words: list[list[int]] = []
     answers: list[list[int]] = []
@@ -176,7 +187,7 @@ def index(items: DataFrame, idf: np.ndarray) -> Index:
             known = distinct[idf[feature_of(distinct)] < idf.max()]
             answers.append(known[np.argsort(-idf[feature_of(known)], kind="stable")][:5].tolist())
     used = np.unique(np.concatenate([feature_of(h) for h in hashes])) if hashes else np.zeros(0, np.int64)
-    basis = randomised_svd(items, idf, used)
+    basis = randomised_svd(items, idf, used, len(ids))
     place = np.zeros(FEATURES, np.int64)
     place[used] = np.arange(len(used))
     latent = np.zeros((len(ids), basis.shape[1]), np.float32)
@@ -203,20 +214,29 @@ def common_subsequence(a: list[int], b: list[int]) -> int:
 
 
 class Search:
-    def __init__(self, ix: Index):
-        self.ix = ix
-        self.place = np.full(FEATURES, -1, np.int64)
-        self.place[ix.used] = np.arange(len(ix.used))
-        self.square = (ix.idf.astype(np.float64)) ** 2
+    def __init__(self, groups: list[Index]):
+        self.groups = [ix for ix in groups if ix.latent.size]
+        self.places = []
+        for ix in self.groups:
+            place = np.full(FEATURES, -1, np.int32)
+            place[ix.used] = np.arange(len(ix.used))
+            self.places.append(place)
+        self.square = (self.groups[0].idf.astype(np.float64)) ** 2 if self.groups else None
 
     def chunk(self, chunk) -> list[tuple[int, int, float, float]]:
-        """(text, item, cosine, share of the item found) of every leak."""
-        ix = self.ix
+        """(text, item id, cosine, share of the item found) of every leak."""
+        if not self.groups:
+            return []
         h, of = plain_hashes(chunk)
-        if not len(h) or not ix.latent.size:
+        if not len(h):
             return []
         f = feature_of(h)
-        at = self.place[f]
+        out = []
+        for ix, place in zip(self.groups, self.places):
+            out += self._group(ix, place[f], chunk, h, of, f)
+        return out
+
+    def _group(self, ix: Index, at: np.ndarray, chunk, h: np.ndarray, of: np.ndarray, f: np.ndarray) -> list[tuple[int, int, float, float]]:
         mass = self.square[f]
         all_mass = np.r_[0, np.cumsum(mass)]
         in_mass = np.r_[0, np.cumsum(np.where(at >= 0, mass, 0))]
@@ -249,7 +269,7 @@ class Search:
                         key = (int(text[r]), int(item))
                         old = found.get(key, (0.0, 0.0))
                         found[key] = (max(old[0], float(cosine[k, item])), max(old[1], share))
-        return [(t, i, c, sh) for (t, i), (c, sh) in sorted(found.items())]
+        return [(t, ix.ids[i], c, sh) for (t, i), (c, sh) in sorted(found.items())]
 
 
 def _blocks(benchmark: DataFrame) -> list[DataFrame]:
@@ -267,14 +287,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     idf = inverse_frequency(document_frequency(docs))
     out = docs.sparkSession.createDataFrame([], schema)
     for block in _blocks(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(index(block, idf))
+        shared = docs.sparkSession.sparkContext.broadcast(indexes(block, idf))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             search = Search(shared.value)
             for batch in batches:
                 rows = []
                 for c in each_chunk(batch):
-                    rows += [(c.lo + t, search.ix.ids[i], cosine, share) for t, i, cosine, share in search.chunk(c)]
+                    rows += [(c.lo + t, i, cosine, share) for t, i, cosine, share in search.chunk(c)]
                 ids = batch.column(0).take(pa.array([r[0] for r in rows], pa.int64()))
                 yield pa.RecordBatch.from_arrays([ids, *(pa.array([r[k] for r in rows], kind) for k, kind in ((1, pa.int64()), (2, pa.float64()), (3, pa.float64())))], names=["doc_id", "item_id", "cosine", "covered"])
 
@@ -287,7 +307,7 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
     idf = inverse_frequency(document_frequency(docs))
     for block in _blocks(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(index(block, idf))
+        shared = docs.sparkSession.sparkContext.broadcast(indexes(block, idf))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             search = Search(shared.value)

@@ -64,6 +64,24 @@ def test_search_recall_against_brute_force(spark):
     assert len(got & want) >= 0.9 * len(want)
 
 
+def test_leaks_of_a_large_benchmark(spark):
+    """Verbatim leaks are found however many items there are."""
+    rng = random.Random(6)
+    vocabulary = _text(rng, 4000).split()
+    words = lambda n: [vocabulary[int(len(vocabulary) * rng.random() ** 2)] for _ in range(n)]
+    items = [(k, " ".join(words(rng.randint(16, 59)))) for k in range(1500)]
+    docs, want = [], set()
+    for d in range(300):
+        w, k = words(rng.randint(100, 300)), rng.randrange(len(items))
+        at = rng.randint(0, len(w))
+        w[at:at] = items[k][1].split()
+        docs.append((d, " ".join(w)))
+        want.add((d, k))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(df, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert len(want - got) <= 3, len(want - got)
+
+
 def test_masked_lm_prefers_its_corpus(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").where("doc_id < 300")
     ids = masked_lm.vocabulary(masked_lm.word_counts(docs))
