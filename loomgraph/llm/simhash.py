@@ -12,7 +12,8 @@ of those links, found by pointer jumping over distributed tables.
 
 `similar` serves the pipeline: documents of a Jaccard similarity of 0.8 or more on five-word shingles.
 At that similarity 64-bit fingerprints differ by 6 to 14 bits, which no small ball reaches, so links
-of fingerprints are joined by links through min-wise segments, verified on the texts' sketches.
+of fingerprints are joined by links through min-wise segments: sketches tell which texts of a bucket
+may be similar, their sets of shingles decide. Large sets are compared by pairs of blocks.
 
 Defined cases: null and empty texts have fingerprint zero and link like any other; texts of fewer
 words than a shingle are one shingle of all their words; rows that repeat a doc_id are kept, each
@@ -169,12 +170,16 @@ SHINGLE, SIMILAR = 5, 0.8
 #: Segments of DRAWS min-wise hashes each: at a similarity of 0.8 one of them agrees in 99.9 of 100 pairs.
 SEGMENTS, DRAWS = 10, 3
 BINS = 256
-#: Beyond so many members a segment's bucket is split by the next segment as well.
+#: What a sketch must promise for the sets to be compared: four standard errors below SIMILAR.
+LOOSE = 0.7
+#: A segment's bucket of more members 
 CROWD = 20000
+#: A larger set of texts is compared by pairs of blocks of half as many.
+EXACT = 2000
 
 
-def _sketch(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
-    """Per text: SEGMENTS min-wise segments, and the least hash byte of each of BINS bins (0: empty)."""
+def _shingles(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, text) of every shingle, in order of texts."""
     n = chunk.n
     start, end, of = chunk.words()
     h = word_hashes(chunk, start, end)
@@ -183,7 +188,11 @@ def _sketch(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
     e = np.minimum(np.arange(len(h)) + SHINGLE, last[of]) if len(h) else np.zeros(0, np.int64)
     whole = (e - np.arange(len(h)) == SHINGLE) | (np.arange(len(h)) == first[of]) if len(h) else np.zeros(0, bool)
     at = np.flatnonzero(whole)
-    g, t = span_hash(sums, at, e[at]), of[at]
+    return span_hash(sums, at, e[at]), of[at]
+
+
+def _sketch(g: np.ndarray, t: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per text: SEGMENTS min-wise segments, and the least hash byte of each of BINS bins (0: empty)."""
     segments = np.zeros((n, SEGMENTS), np.uint64)
     bins = np.zeros((n, BINS), np.uint8)
     if len(g):
@@ -223,7 +232,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                 raw = c.data.tobytes().translate(_LOWER)
                 low = Chunk(c.lo, np.frombuffer(raw, np.uint8), c.offs)
                 fps += [fingerprint(raw[c.offs[i] : c.offs[i + 1]], SHINGLE) for i in range(c.n)]
-                a, b = _sketch(low)
+                a, b = _sketch(*_shingles(low), c.n)
                 segs += [x.tolist() for x in a.view(np.int64)]
                 bins += [x.tobytes() for x in b]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(segs, pa.list_(pa.int64())), pa.array(bins, pa.binary())], names=["doc_id", "node", "fp", "segments", "bins"])
@@ -231,24 +240,83 @@ def sketches(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"), "text").mapInArrow(run, "doc_id long, node long, fp long, segments array<long>, bins binary")
 
 
+def _pairs(n: int, most: int) -> list[np.ndarray]:
+    """Sets of at most `most` of `n` places in which every two places meet."""
+    if n <= most:
+        return [np.arange(n)]
+    blocks = np.array_split(np.arange(n), -(-n // (most // 2)))
+    return [np.r_[blocks[i], blocks[j]] for i in range(len(blocks)) for j in range(i)]
+
+
 def _near(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Links of a spanning forest of the texts in a bucket that are similar enough."""
-    pdf = pdf.drop_duplicates("node")
+    """(set, node): the texts of a bucket in sets whose shingles are to be compared. Two texts that
+    sketches find loosely similar are in one set; equal sets of several buckets have equal names."""
+    pdf = pdf.drop_duplicates("node").sort_values("node")
     rest = np.frombuffer(b"".join(pdf.bins), np.uint8).reshape(len(pdf), BINS)
     nodes = pdf.node.to_numpy(np.int64)
-    out: list[tuple[int, int]] = []
+    out: list[pd.DataFrame] = []
     while len(nodes) > 1:
-        queue = [(nodes[0], rest[0])]
+        queue, met = [rest[0]], [nodes[:1]]
         nodes, rest = nodes[1:], rest[1:]
         while queue and len(nodes):
-            node, sketch = queue.pop()
-            near = similarity(rest, sketch) >= SIMILAR
-            out += [(int(node), int(v)) for v in nodes[near]]
-            queue += list(zip(nodes[near], rest[near]))
+            near = similarity(rest, queue.pop()) >= LOOSE
+            met.append(nodes[near])
+            queue += list(rest[near])
             nodes, rest = nodes[~near], rest[~near]
+        members = np.sort(np.concatenate(met))
+        for at in _pairs(len(members), EXACT) if len(members) > 1 else ():
+            name = xxhash.xxh64_intdigest(members[at].tobytes())
+            out.append(pd.DataFrame({"set": np.int64(name - (1 << 63)), "node": members[at]}))
+    return pd.concat(out) if out else pd.DataFrame({"set": [], "node": []}, dtype="int64")
+
+
+def _alike(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Links of a spanning forest of the texts whose sets of shingles have a Jaccard similarity of
+    SIMILAR or more."""
+    pdf = pdf.drop_duplicates("node")
+    nodes = pdf.node.to_numpy(np.int64)
+    sets = [np.frombuffer(b, np.uint64) for b in pdf.shingles]
+    sizes = np.array([len(x) for x in sets])
+    values, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(values, kind="stable")
+    values, of = values[order], of[order]
+    left = np.ones(len(nodes), bool)
+    out: list[tuple[int, int]] = []
+    for k in range(len(nodes)):
+        if not left[k]:
+            continue
+        left[k] = False
+        queue = [k]
+        while queue and left.any():
+            x = queue.pop()
+            lo, hi = np.searchsorted(values, sets[x], "left"), np.searchsorted(values, sets[x], "right")
+            n = hi - lo
+            places = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+            both = np.bincount(of[places], minlength=len(nodes))
+            either = sizes + sizes[x] - both
+            found = np.flatnonzero(left & (both / np.maximum(either, 1) >= SIMILAR))
+            left[found] = False
+            out += [(int(nodes[x]), int(nodes[y])) for y in found]
+            queue += found.tolist()
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
+def shingle_sets(docs: DataFrame) -> DataFrame:
+    """node and the set of shingle hashes (64-bit each, in order) of every row of `docs` (node, text)."""
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = []
+            for c in chunks(text_array(batch.column(1))):
+                g, t = _shingles(Chunk(c.lo, np.frombuffer(c.data.tobytes().translate(_LOWER), np.uint8), c.offs))
+                cut = np.searchsorted(t, np.arange(c.n + 1))
+                sets += [np.unique(g[x:y]).tobytes() for x, y in zip(cut.tolist(), cut[1:].tolist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "shingles"])
+
+    return docs.select("node", "text").mapInArrow(run, "node long, shingles binary")
+
+
 def similar(docs: DataFrame) -> DataFrame:
     """(doc_id, node, stays): one row per distinct (doc_id, text hash) of `docs`; `stays` is true for
     the smallest doc_id of each class (of equal ids the smallest hash)."""
@@ -258,9 +326,13 @@ def similar(docs: DataFrame) -> DataFrame:
     keyed = texts.select("node", "segments", F.posexplode("segments").alias("segment", "key"))
     sizes = keyed.groupBy("segment", "key").agg(F.count("*").alias("n")).where("n > 1")
     met = keyed.join(sizes, ["segment", "key"]).withColumn("more", F.when(F.col("n") > CROWD, F.expr(f"segments[(segment + 1) % {SEGMENTS}]")).otherwise(F.lit(0)))
-    met = met.select("node", "segment", "key", "more").join(texts.select("node", "bins"), "node")
+    met = met.select("node", "segment", "key", "more")
+    met = met.join(texts.select("node", "bins"), "node")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    near = met.repartition(parts, "segment", "key", "more").groupBy("segment", "key", "more").applyInPandas(_near, "a long, b long")
+    sets = met.repartition(parts, "segment", "key", "more").groupBy("segment", "key", "more").applyInPandas(_near, "set long, node long")
+    sets = saved(sets.distinct(), folder, "sets")
+    wanted = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"), "text").join(sets.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    near = sets.join(shingle_sets(wanted), "node").repartition(parts, "set").groupBy("set").applyInPandas(_alike, "a long, b long")
     prints = texts.groupBy("fp").agg(F.min("node").alias("head"))
     equal = texts.join(prints, "fp").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
     close = links(prints.select("fp"), folder)

@@ -127,6 +127,25 @@ def test_similar_texts(spark):
     assert kept & {950, 951, 952, 953, None} == {950, 952}
 
 
+def _overlapping(rng, n, kept):
+    """Two texts that share their first `kept` of `n` words: J = (kept - 4) / (2 * (n - 4) - (kept - 4))."""
+    base = _text(rng, n).split()
+    return " ".join(base), " ".join(base[:kept] + _text(rng, n - kept).split())
+
+
+def test_similarity_is_decided_exactly(spark):
+    """Pairs a little above 0.8 are linked, pairs a little below are not."""
+    rng = random.Random(12)
+    rows, above, below = [], [], []
+    for k in range(60):
+        kept, into = (361, above) if k % 2 else (352, below)  # 357 and 348 of 396 shingles: 0.821 and 0.784
+        a, b = _overlapping(rng, 400, kept)
+        rows += [(2 * k, a), (2 * k + 1, b)]
+        into.append(2 * k + 1)
+    out = {r.doc_id: r.stays for r in simhash.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert not [d for d in above if out[d]] and all(out[d] for d in below)
+
+
 @pytest.fixture(scope="module")
 def staged(spark, tmp_path_factory):
     """The pipeline over a small table with an extra column of a clashing name."""
