@@ -13,7 +13,7 @@ of those links, found by pointer jumping over distributed tables.
 `similar` serves the pipeline: documents of a Jaccard similarity of 0.8 or more on five-word shingles.
 At that similarity 64-bit fingerprints differ by 6 to 14 bits, which no small ball reaches, so links
 of fingerprints are joined by links through min-wise segments: sketches tell which texts of a bucket
-may be similar, their sets of shingles decide. Large sets are compared by pairs of blocks.
+may be similar, their sets of shingles decide. Large buckets and sets are compared by pairs of blocks.
 
 Defined cases: null and empty texts have fingerprint zero and link like any other; texts of fewer
 words than a shingle are one shingle of all their words; rows that repeat a doc_id are kept, each
@@ -29,7 +29,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Chunk, chunks, mix, prefix_sums, saved, small_batches, span_hash, table, text_array, word_hashes, work_folder
@@ -172,9 +172,9 @@ SEGMENTS, DRAWS = 10, 3
 BINS = 256
 #: What a sketch must promise for the sets to be compared: four standard errors below SIMILAR.
 LOOSE = 0.7
-#: A segment's bucket of more members 
+#: A segment's bucket of more members is compared by pairs of blocks of half as many.
 CROWD = 20000
-#: A larger set of texts is compared by pairs of blocks of half as many.
+#: Likewise a set of texts whose shingles are compared.
 EXACT = 2000
 
 
@@ -317,16 +317,23 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     return docs.select("node", "text").mapInArrow(run, "node long, shingles binary")
 
 
+def _blocks() -> Column:
+    """Column `more`: a bucket's pairs of blocks that a member of a bucket of `n` takes part in."""
+    k = f"cast(ceil(n / {CROWD // 2}) as int)"
+    mine = f"cast(pmod(xxhash64(node, segment), {k}) as int)"
+    pair = f"transform(filter(sequence(0, {k} - 1), b -> b <> {mine}), b -> least(b, {mine}) * {k} + greatest(b, {mine}))"
+    return F.explode(F.expr(f"if(n > {CROWD}, {pair}, array(0))")).alias("more")
+
+
 def similar(docs: DataFrame) -> DataFrame:
     """(doc_id, node, stays): one row per distinct (doc_id, text hash) of `docs`; `stays` is true for
     the smallest doc_id of each class (of equal ids the smallest hash)."""
     folder = work_folder(docs.sparkSession)
     rows = saved(sketches(docs.withColumn("doc_id", F.col("doc_id").cast("long"))), folder, "sketches")
     texts = rows.dropDuplicates(["node"]).select("node", "fp", "segments", "bins")
-    keyed = texts.select("node", "segments", F.posexplode("segments").alias("segment", "key"))
+    keyed = texts.select("node", F.posexplode("segments").alias("segment", "key"))
     sizes = keyed.groupBy("segment", "key").agg(F.count("*").alias("n")).where("n > 1")
-    met = keyed.join(sizes, ["segment", "key"]).withColumn("more", F.when(F.col("n") > CROWD, F.expr(f"segments[(segment + 1) % {SEGMENTS}]")).otherwise(F.lit(0)))
-    met = met.select("node", "segment", "key", "more")
+    met = keyed.join(sizes, ["segment", "key"]).select("node", "segment", "key", _blocks())
     met = met.join(texts.select("node", "bins"), "node")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sets = met.repartition(parts, "segment", "key", "more").groupBy("segment", "key", "more").applyInPandas(_near, "set long, node long")

@@ -146,6 +146,19 @@ def test_similarity_is_decided_exactly(spark):
     assert not [d for d in above if out[d]] and all(out[d] for d in below)
 
 
+def test_crowded_buckets_lose_no_pair(spark, monkeypatch):
+    """Every two members of a bucket beyond CROWD, or of a set beyond EXACT, meet."""
+    monkeypatch.setattr(simhash, "CROWD", 20)
+    rows = spark.range(60).selectExpr("id as node", "0 as segment", "60L as n").select("node", simhash._blocks()).collect()
+    at = {}
+    for r in rows:
+        at.setdefault(r.more, []).append(r.node)
+    assert {frozenset((a, b)) for v in at.values() for a in v for b in v if a != b} == {frozenset((a, b)) for a in range(60) for b in range(a)}
+    assert len(at) > 1 and max(map(len, at.values())) < 60
+    sets = simhash._pairs(9, 4)
+    assert max(map(len, sets)) <= 4 and {frozenset((i, j)) for i in range(9) for j in range(i)} <= {frozenset((int(i), int(j))) for x in sets for i in x for j in x}
+
+
 @pytest.fixture(scope="module")
 def staged(spark, tmp_path_factory):
     """The pipeline over a small table with an extra column of a clashing name."""
