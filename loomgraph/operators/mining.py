@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..errors import ReportError
 from .cycles import SMALL, layers
 from .edges import cross_module, edge_counts, traffic
 
@@ -27,10 +28,13 @@ def majority_pairs(edges: DataFrame) -> DataFrame:
 
 
 def layered_order(edges: DataFrame) -> DataFrame:
-    """(name, level, support): layers over majority directions; no rows if they form a cycle."""
+    """(name, level, support): layers over majority directions; no rows if they form a cycle.
+    More than SMALL pairs are an error."""
     spark = edges.sparkSession
     rows = majority_pairs(edges).limit(SMALL + 1).collect()
-    level = layers([(r.from_module, r.to_module) for r in rows]) if 0 < len(rows) <= SMALL else None
+    if len(rows) > SMALL:
+        raise ReportError(f"More than {SMALL} pairs of modules have a majority direction.", "Declare coarser modules.")
+    level = layers([(r.from_module, r.to_module) for r in rows]) if rows else None
     forward, back = sum(r.n for r in rows), sum(r.back for r in rows)
     return spark.createDataFrame([(k, v, forward / (forward + back)) for k, v in (level or {}).items()], "name string, level int, support double")
 

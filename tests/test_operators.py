@@ -211,6 +211,16 @@ def test_history_and_mining(spark):
     assert {r.path: r.anchor for r in mining.nearest_anchor(paths, anchors).collect()} == {"src/a/x.ts": "src/a", "src/a/b/y.ts": "src/a", "top.ts": ""}
 
 
+def test_layers_of_too_many_pairs_are_an_error(spark, monkeypatch):
+    rows = [("a", "b", 1), ("b", "c", 1), ("c", "d", 1)]
+    pairs = spark.createDataFrame(rows, "from_module string, to_module string, n long").withColumn("back", F.lit(0))
+    monkeypatch.setattr(mining, "majority_pairs", lambda edges: pairs)
+    assert mining.layered_order(pairs).count() == 4
+    monkeypatch.setattr(mining, "SMALL", 2)
+    with pytest.raises(ReportError):
+        mining.layered_order(pairs)
+
+
 def test_moves(spark, small):
     config, raw, _ = small
     from dataclasses import replace
