@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
 import tempfile
 import uuid
@@ -9,8 +10,10 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -22,14 +25,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A new folder under the shared checkpoint folder; a local one only where the session names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
+    """A new folder under the shared checkpoint folder, removed when the driver ends. Where the
+    session names none, a local master gets a temporary one; on a cluster that is an error, as its
+    executors could not read each other's files."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="loomgraph-")
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/work-{uuid.uuid4().hex}"
+    folder = f"{base.rstrip('/')}/work-{uuid.uuid4().hex}"
+    atexit.register(_removed_at_exit, spark, folder)
+    return folder
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of intermediate tables, wherever it lies."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _removed_at_exit(spark: SparkSession, folder: str) -> None:
+    try:
+        remove(spark, folder)
+    except Exception:  # the session is gone; what it leaves is the folder's owner's to clear
+        pass
 
 
 def saved(df: DataFrame, folder: str, name: str) -> DataFrame:
@@ -171,12 +191,45 @@ def each_chunk(batch: pa.RecordBatch, column: str = "text") -> Iterator[Chunk]:
     yield from chunks(text_array(batch.column(batch.schema.get_field_index(column))))
 
 
-def slim(df: DataFrame, *columns: str) -> DataFrame:
-    return df.select(*columns)
-
-
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches of a few megabytes of text, so a Python worker's memory stays bounded by
     bytes as well as by rows."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
+
+
+#: A vector travels in so many pieces, each added up by its own task.
+PIECES = 16
+#: Vectors of so many groups of tasks are added up first, so no task holds more than a share of them.
+LANES = 1024
+SENT = "lane int, piece int, weight double, data binary"
+
+
+def sent(vector: np.ndarray, weight: float = 1.0) -> pa.RecordBatch:
+    """A task's vector in pieces, as rows of SENT."""
+    parts = np.array_split(vector, PIECES)
+    context = TaskContext.get()
+    lane = (context.partitionId() if context else 0) % LANES
+    return pa.RecordBatch.from_arrays(
+        [pa.array([lane] * PIECES, pa.int32()), pa.array(range(PIECES), pa.int32()), pa.array([float(weight)] * PIECES), pa.array([p.tobytes() for p in parts], pa.binary())],
+        names=["lane", "piece", "weight", "data"],
+    )
+
+
+def gathered(rows: DataFrame, kind: str, size: int, mean: bool = False) -> np.ndarray:
+    """Sum, or weighted mean, of the vectors sent by all tasks: piece by piece, in two levels. With
+    n tasks a group holds n / LANES pieces, then LANES of them; one vector reaches the driver."""
+
+    def combine(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        total, weight = None, 0.0
+        for w, b in zip(pdf.weight, pdf.data):
+            v = np.frombuffer(b, kind)
+            v = v.astype(np.float64) * w if mean else v
+            total = v.copy() if total is None else total + v
+            weight += w
+        total = (total / max(weight, 1e-9)).astype(kind) if mean else total
+        return pd.DataFrame({"lane": np.int32([0]), "piece": np.int32([key[0]]), "weight": [weight], "data": [total.tobytes()]})
+
+    first = rows.groupBy("piece", "lane").applyInPandas(combine, SENT)
+    got = first.groupBy("piece").applyInPandas(combine, SENT).collect()
+    return np.concatenate([np.frombuffer(r.data, kind) for r in sorted(got, key=lambda r: r.piece)]) if got else np.zeros(size, kind)

@@ -6,10 +6,12 @@ its class. A document's score is the sum of these conditional log-probabilities.
 
 Every document takes part in everything that is learned. Word counts are summed over all texts into
 one bounded table of `SLOTS` hashed counters, whose most frequent slots become the vocabulary and
-whose others share `SPARE` ids. Training runs `ROUNDS` rounds over the whole corpus: each task
-starts from the same parameters, takes gradient steps on the words that the round masks, and sends
-its parameters; they are averaged by number of masked words, piece by piece. What is gathered grows
-with the number of tasks, hence with the input; what reaches the driver is one set of parameters.
+whose others share `SPARE` ids. Training runs `ROUNDS` rounds over the whole corpus, which between
+them mask every word of every document once: each task starts from the same parameters, takes
+gradient steps on the words that the round masks, and sends its parameters; they are averaged by
+number of masked words, piece by piece. What is gathered grows with the number of tasks, hence with
+the input; what reaches the driver is one set of parameters. As averages follow the tasks, scores
+depend a little on how the input is partitioned; the same partitioning gives the same scores.
 
 Defined cases: a null or empty text has no words, a log_prob of 0 and a null mean; words beyond a
 text's ends are one padding id, and context never crosses texts; repeated rows are trained on and
@@ -21,12 +23,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import each_chunk, mix, plain_hashes, small_batches, table
+from .common import SENT, each_chunk, gathered, mix, plain_hashes, sent, small_batches, table
 
 SLOT_BITS = 17
 SLOTS = 1 << SLOT_BITS
@@ -36,12 +37,10 @@ CLASSES = 64
 WITHIN = VOCAB // CLASSES
 PAD = VOCAB
 SIDE, HIDDEN = 2, 16
-#: One word in so many is masked in a round, another set each round.
-MASK = 10
+#: Rounds of training; each masks another share of the words, so every word is a target once.
 ROUNDS = 2
-STEP = 1024
+STEP = 8192
 RATE = 0.15
-PIECES = 16
 _SHAPES = {
     "embed": (2 * SIDE, VOCAB + 1, HIDDEN),
     "bias": (HIDDEN,),
@@ -60,31 +59,9 @@ def word_counts(docs: DataFrame) -> np.ndarray:
             for chunk in each_chunk(batch):
                 h, _ = plain_hashes(chunk)
                 total += np.bincount((h >> np.uint64(64 - SLOT_BITS)).astype(np.int64), minlength=SLOTS)
-        yield _sent(total)
+        yield sent(total)
 
-    return _gathered(docs.select("text").mapInArrow(run, "piece int, weight double, data binary"), "<i8", SLOTS, False)
-
-
-def _sent(vector: np.ndarray, weight: float = 1.0) -> pa.RecordBatch:
-    parts = np.array_split(vector, PIECES)
-    return pa.RecordBatch.from_arrays([pa.array(range(PIECES), pa.int32()), pa.array([weight] * PIECES), pa.array([p.tobytes() for p in parts], pa.binary())], names=["piece", "weight", "data"])
-
-
-def _gathered(rows: DataFrame, kind: str, size: int, mean: bool) -> np.ndarray:
-    """Sum, or weighted mean, of vectors sent in pieces; each piece is combined by one task."""
-
-    def combine(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        total, weight = None, 0.0
-        for w, b in zip(pdf.weight, pdf.data):
-            v = np.frombuffer(b, kind)
-            v = v * w if mean else v
-            total = v.copy() if total is None else total + v
-            weight += w
-        total = (total / max(weight, 1e-9)).astype(kind) if mean else total
-        return pd.DataFrame({"piece": [key[0]], "data": [total.tobytes()]})
-
-    got = rows.groupBy("piece").applyInPandas(combine, "piece int, data binary").collect()
-    return np.concatenate([np.frombuffer(r.data, kind) for r in sorted(got, key=lambda r: r.piece)]) if got else np.zeros(size, kind)
+    return gathered(docs.select("text").mapInArrow(run, SENT), "<i8", SLOTS)
 
 
 def vocabulary(counts: np.ndarray) -> np.ndarray:
@@ -190,6 +167,12 @@ def tokens(chunk, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return word, context, of
 
 
+def masked(of: np.ndarray, rounds: int) -> np.ndarray:
+    """The round that masks each word, from its place in its own text."""
+    place = np.arange(len(of)) - np.searchsorted(of, of)
+    return (mix(place.astype(np.uint64)) % np.uint64(rounds)).astype(np.int64)
+
+
 def train(docs: DataFrame, ids: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
     """Flat parameters after `rounds` averaged rounds over every document."""
     small_batches(docs.sparkSession)
@@ -202,12 +185,11 @@ def train(docs: DataFrame, ids: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
         def run(batches: Iterator[pa.RecordBatch], shared=shared, r=r) -> Iterator[pa.RecordBatch]:
             net, square = Network(shared.value.copy()), Network(np.zeros_like(shared.value))
             held: list[tuple[np.ndarray, np.ndarray]] = []
-            count = seen = 0
+            count = 0
             for batch in batches:
                 for chunk in each_chunk(batch):
-                    word, context, _ = tokens(chunk, shared_ids.value)
-                    pick = mix(np.arange(len(word), dtype=np.uint64) * np.uint64(rounds) + np.uint64(seen + r)) % np.uint64(MASK) == 0
-                    seen += len(word) * rounds
+                    word, context, of = tokens(chunk, shared_ids.value)
+                    pick = masked(of, rounds) == r
                     held.append((word[pick], context[pick]))
                     count += int(pick.sum())
                     while sum(len(w) for w, _ in held) >= STEP:
@@ -218,9 +200,9 @@ def train(docs: DataFrame, ids: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
                 w, c = (np.concatenate(x) for x in zip(*held))
                 net.step(square, c, w)
             if count:
-                yield _sent(net.flat, float(count))
+                yield sent(net.flat, count)
 
-        flat = _gathered(docs.select("text").mapInArrow(run, "piece int, weight double, data binary"), "<f4", len(flat), True)
+        flat = gathered(docs.select("text").mapInArrow(run, SENT), "<f4", len(flat), mean=True)
         if not flat.any():  # no words anywhere
             flat = Network.fresh().flat
     return flat

@@ -1,6 +1,7 @@
 """Operators that learn or search, and the pipeline, on small planted tables."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -54,8 +55,41 @@ def test_leaks(spark):
     assert decontaminate.leaks(df.limit(0), bench).count() == 0
 
 
+def test_recall_of_paraphrases_against_brute_force(spark):
+    """Of all pairs of a document and an item that a window by window subsequence accepts, candidates
+    by latent cosine hold at least nine in ten, also where exact copies of the items are there too."""
+    rng = random.Random(14)
+    items = [(k, _text(rng, rng.randint(14, 60)) + (" what is it? " + _text(rng, 3) if k % 3 == 0 else "")) for k in range(40)]
+    docs = []
+    for d in range(240):
+        words = _text(rng, rng.randint(0, 300)).split()
+        if d < 120:
+            leak = items[d % 40][1].split()
+            if d >= 40:  # one word in five to eight replaced, not in the answer
+                for i in range(d % 3, len(leak) - 3, 5 + d % 4):
+                    leak[i] = _text(rng, 1)
+            at = rng.randint(0, len(words))
+            words[at:at] = leak
+        docs.append((d, " ".join(words)))
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    clean = lambda t: [w.strip("?").lower() for w in t.split()]
+    ids: dict = {}
+    number = lambda t: [ids.setdefault(w, len(ids)) for w in clean(t)]
+    want = set()
+    for k, item in items:
+        a, answer = number(item), number(item.rsplit("?", 1)[1]) if "?" in item else []
+        for d, text in docs:
+            b = number(text)
+            if len(set(a) & set(b)) < 0.6 * len(set(a)):
+                continue  # no subsequence can be long enough
+            if decontaminate.common_subsequence(a, b) >= 0.6 * len(a) and sum(w in b for w in answer) >= 0.6 * len(answer):
+                want.add((d, k))
+    assert {(d, d % 40) for d in range(120)} <= want
+    assert len(got & want) >= 0.9 * len(want) and not got - want, (len(got & want), len(want))
+
+
 def test_search_recall_against_brute_force(spark):
-    """Candidates by latent cosine hold at least nine in ten of the pairs that the final check accepts."""
+    """Nine in ten at least of the documents that hold an item word for word are found with it."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench).collect()}
@@ -93,6 +127,54 @@ def test_masked_lm_prefers_its_corpus(spark):
     assert masked_lm.score(spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string"), ids, flat).where("log_prob = 0 and mean_log_prob is null").count() == 2
 
 
+def test_masked_lm_trains_on_every_word_once():
+    of = np.repeat(np.arange(50), np.random.default_rng(3).integers(1, 40, 50))
+    rounds = masked_lm.masked(of, masked_lm.ROUNDS)
+    assert sum(int((rounds == r).sum()) for r in range(masked_lm.ROUNDS)) == len(of)
+    assert (masked_lm.masked(of[of >= 10] - 10, masked_lm.ROUNDS) == rounds[of >= 10]).all()  # whatever comes before
+
+
+def test_masked_lm_equals_a_plain_loop():
+    """Log-probabilities and one Adagrad step against loops over single numbers."""
+    import math
+
+    rng = np.random.default_rng(5)
+    n = 6
+    context = rng.integers(0, 9, (n, 4)).astype(np.int32)
+    target = np.array([0, 1, 64, 65, 130, 1], np.int32)
+    net = masked_lm.Network.fresh()
+    p = {k: v.astype(float).copy() for k, v in net.p.items()}
+    H = masked_lm.HIDDEN
+
+    def forward(c, t):
+        z = [p["bias"][k] + sum(p["embed"][j][c[j]][k] for j in range(4)) for k in range(H)]
+        h = [*map(math.tanh, z), 1.0]
+        soft = lambda m: (lambda e: [x / sum(e) for x in e])([math.exp(sum(h[i] * m[i][k] for i in range(H + 1))) for k in range(m.shape[1])])
+        return h, soft(p["classes"]), soft(p["words"][t % 64])
+
+    want = []
+    grads = {k: np.zeros_like(v) for k, v in p.items()}
+    for c, t in zip(context, target):
+        h, pc, pw = forward(c, t)
+        want.append(math.log(pc[t % 64]) + math.log(pw[t // 64]))
+        ec, ew = np.array(pc), np.array(pw)
+        ec[t % 64] -= 1
+        ew[t // 64] -= 1
+        grads["classes"] += np.outer(h, ec) / n
+        grads["words"][t % 64] += np.outer(h, ew) / n
+        dh = p["classes"] @ ec + p["words"][t % 64] @ ew
+        dz = dh[:H] * (1 - np.array(h[:H]) ** 2)
+        grads["bias"] += dz / n
+        for j in range(4):
+            grads["embed"][j][c[j]] += dz / n
+    assert np.allclose(net.log_probs(context, target), want, atol=1e-4)
+    square = masked_lm.Network(np.zeros_like(net.flat))
+    net.step(square, context, target)
+    for k, g in grads.items():
+        step = masked_lm.RATE * g / np.sqrt(g * g + 1e-8)
+        assert np.allclose(net.p[k], p[k] - step, atol=2e-3), k
+
+
 def test_masked_lm_probabilities_sum_to_one():
     net = masked_lm.Network.fresh()
     context = np.tile(np.array([[1, 2, 3, masked_lm.PAD]], np.int32), (masked_lm.VOCAB, 1))
@@ -146,6 +228,52 @@ def test_similarity_is_decided_exactly(spark):
     assert not [d for d in above if out[d]] and all(out[d] for d in below)
 
 
+def test_near_duplicates_against_brute_force(spark):
+    """Of every class of pairs with an exact Jaccard similarity of 0.8 or more on five-word shingles,
+    over the whole table, one document stays; others only go for a SimHash within three bits."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    stays = {r.doc_id for r in simhash.similar(docs).where("stays").collect()}
+    sets = {}
+    for i, t in texts.items():
+        w = t.lower().split(" ") if t.isascii() and not set("\t\n\r\x0b\x0c") & set(t) else re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
+        w = [x for x in w if x]
+        sets[i] = frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4)))
+    first: dict = {}
+    holders: dict = {}
+    for i in sorted(sets):
+        if first.setdefault(sets[i], i) == i:
+            for g in sets[i]:
+                holders.setdefault(g, []).append(i)
+    root = {i: first[sets[i]] for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in sorted(set(first.values())):
+        shared: dict = {}
+        for g in sets[i]:
+            for j in holders[g]:
+                if j < i:
+                    shared[j] = shared.get(j, 0) + 1
+        for j, n in shared.items():
+            if n >= 0.8 * (len(sets[i]) + len(sets[j]) - n):
+                root[find(i)] = find(j)
+    wanted = {find(i) for i in sets}
+    groups: dict = {}
+    for i in sets:
+        groups.setdefault(find(i), set()).add(i)
+    missed = sum(len(g & stays) - 1 for g in groups.values() if len(g & stays) > 1)
+    gone = len(sets) - len(wanted)
+    assert gone > 20 and missed <= 0.1 * gone, (missed, gone)
+    prints = {r.doc_id: r.fp for r in simhash.fingerprints(docs, 5).collect()}
+    for g in groups.values():
+        if not g & stays:
+            assert any((prints[i] ^ prints[j]) & (2**64 - 1) == 0 or bin((prints[i] ^ prints[j]) & (2**64 - 1)).count("1") <= 3 for i in g for j in sets if j not in g)
+
+
 def test_crowded_buckets_lose_no_pair(spark, monkeypatch):
     """Every two members of a bucket beyond CROWD, or of a set beyond EXACT, meet."""
     monkeypatch.setattr(simhash, "CROWD", 20)
