@@ -100,33 +100,37 @@ class Network:
 
     def log_probs(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         """log p(target | both sides) of every row."""
-        h = self.hidden(context)
-        cls, word = target % CLASSES, target // CLASSES
+        order, cls, word, cuts = _by_class(target)
+        h = self.hidden(context[order])
         out = _picked(h @ self.p["classes"], cls)
-        for c, rows in _by_class(cls):
-            out[rows] += _picked(h[rows] @ self.p["words"][c], word[rows])
-        return out
+        for c, lo, hi in cuts:
+            out[lo:hi] += _picked(h[lo:hi] @ self.p["words"][c], word[lo:hi])
+        back = np.empty_like(out)
+        back[order] = out
+        return back
 
     def step(self, square: Network, context: np.ndarray, target: np.ndarray) -> None:
         """One Adagrad step on the mean loss of the rows."""
+        order, cls, word, cuts = _by_class(target)
+        context = context[order]
         h = self.hidden(context)
-        cls, word = target % CLASSES, target // CLASSES
         n = np.float32(len(target))
         grad_logit = _error(h @ self.p["classes"], cls)
         back = grad_logit @ self.p["classes"].T
         grads = [("classes", slice(None), h.T @ grad_logit / n)]
-        for c, rows in _by_class(cls):
-            e = _error(h[rows] @ self.p["words"][c], word[rows])
-            back[rows] += e @ self.p["words"][c].T
-            grads.append(("words", c, h[rows].T @ e / n))
+        for c, lo, hi in cuts:
+            e = _error(h[lo:hi] @ self.p["words"][c], word[lo:hi])
+            back[lo:hi] += e @ self.p["words"][c].T
+            grads.append(("words", c, h[lo:hi].T @ e / n))
         dz = back[:, :HIDDEN] * (1 - h[:, :HIDDEN] ** 2)
         grads.append(("bias", slice(None), dz.mean(0)))
         for name, at, g in grads:
             square.p[name][at] += g * g
             self.p[name][at] -= RATE * g / np.sqrt(square.p[name][at] + 1e-8)
         for j in range(2 * SIDE):
-            order = np.argsort(context[:, j], kind="stable")
-            ids = context[order, j]
+            side = context[:, j].astype(np.uint16)  # sorted by digits, faster than by comparison
+            order = np.argsort(side, kind="stable")
+            ids = side[order]
             cut = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
             g = np.add.reduceat(dz[order], cut, axis=0) / n
             rows = ids[cut]
@@ -134,12 +138,13 @@ class Network:
             self.p["embed"][j][rows] -= RATE * g / np.sqrt(square.p["embed"][j][rows] + 1e-8)
 
 
-def _by_class(cls: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    order = np.argsort(cls.astype(np.uint8), kind="stable")
-    c = cls[order]
-    cut = np.flatnonzero(np.r_[True, c[1:] != c[:-1]]) if len(c) else []
-    for lo, hi in zip(cut, [*cut[1:], len(c)]):
-        yield int(c[lo]), order[lo:hi]
+def _by_class(target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+    """Order by class; classes and words in that order; (class, start, end) of every class."""
+    order = np.argsort((target % CLASSES).astype(np.uint8), kind="stable")
+    t = target[order]
+    c = t % CLASSES
+    cut = np.flatnonzero(np.r_[True, c[1:] != c[:-1]]).tolist() if len(c) else []
+    return order, c, t // CLASSES, [(int(c[lo]), lo, hi) for lo, hi in zip(cut, [*cut[1:], len(c)])]
 
 
 def _picked(logits: np.ndarray, target: np.ndarray) -> np.ndarray:
@@ -149,7 +154,7 @@ def _picked(logits: np.ndarray, target: np.ndarray) -> np.ndarray:
 
 def _error(logits: np.ndarray, target: np.ndarray) -> np.ndarray:
     e = np.exp(logits - logits.max(1, keepdims=True))
-    e /= e.sum(1, keepdims=True)
+    e *= 1 / e.sum(1, keepdims=True)
     e[np.arange(len(target)), target] -= 1
     return e
 
