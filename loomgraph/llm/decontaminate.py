@@ -239,9 +239,11 @@ class Search:
                 r = rows[k]
                 words = ix.words[item]
                 region = h[max(first[text[r]], s[r] - len(words)) : min(last[text[r]], e[r] + len(words))].tolist()
+                here = set(region)
+                if sum(w in here for w in words) < COVERED * len(words):
+                    continue  # no subsequence can be longer than what the region holds of the item
                 share = common_subsequence(words, region) / len(words)
                 if share >= COVERED:
-                    here = set(region)
                     answer = ix.answers[item]
                     if sum(w in here for w in answer) >= ANSWERED * len(answer):
                         key = (int(text[r]), int(item))
