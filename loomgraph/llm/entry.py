@@ -7,7 +7,7 @@ from .bpe import op1_bpe
 from .chat import op7_chat
 from .decontaminate import op4_decontaminate
 from .masked_lm import op3_masked_lm
-from .oracles import OP6, OP7, OP9
+from .oracles import OP5, OP6, OP7, OP9
 from .quality import op2_quality
 from .radix import op6_radix
 from .secrets import op5_secrets
@@ -28,6 +28,7 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op5_secrets": OP5,
     "op6_radix": OP6,
     "op7_chat": OP7,
     "op9_automaton": OP9,

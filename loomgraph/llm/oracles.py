@@ -36,3 +36,22 @@ select conv_id, count(*) as n_turns, sha256(string_agg(concat(role, chr(10), tex
   sum(4 + length(er) + 2 + length(et) + 8)::bigint as formatted_chars,
   regexp_full_match(string_agg(concat(role, ','), '' order by turn, role, text), '(system,)?user,(tool,)*assistant,((user,|tool,)(tool,)*assistant,)*') as valid
 from e group by conv_id"""
+
+_ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["\']?\x20*[:=]\x20*["\']?([A-Za-z0-9+/_.=-]+)""".replace("\\'", "''")
+
+OP5 = rf"""with d as (select doc_id, coalesce(text, '') as t from documents),
+r as (select doc_id, 0 as k, regexp_extract_all(t, '{_ASSIGN}') as ms, string_split_regex(t, '{_ASSIGN}') as gs from d
+  union all select doc_id, 1, regexp_extract_all(t, 'AKIA[A-Z0-9]+'), string_split_regex(t, 'AKIA[A-Z0-9]+') from d
+  union all select doc_id, 2, regexp_extract_all(t, '[0-9a-f]+'), string_split_regex(t, '[0-9a-f]+') from d
+  union all select doc_id, 3, regexp_extract_all(t, '[A-Za-z0-9+/_=-]{{20,}}'), string_split_regex(t, '[A-Za-z0-9+/_=-]{{20,}}') from d),
+u as (select doc_id, k, unnest(ms) as m, unnest(gs[1:len(ms)]) as g, unnest(range(len(ms))) as i from r where len(ms) > 0),
+x as (select doc_id, k, m, (sum(length(g)) over w + sum(length(m)) over w - length(m))::bigint as s, (sum(length(g)) over w + sum(length(m)) over w)::bigint as e from u window w as (partition by doc_id, k order by i rows unbounded preceding)),
+b as (select doc_id, k, s, e from x where case k when 0 then length(regexp_extract(m, '{_ASSIGN}', 2)) >= 6 when 1 then e - s >= 20 when 2 then e - s >= 24 else false end),
+c as (select * from x where k = 3 and regexp_matches(m, '[0-9]') and regexp_matches(m, '[A-Za-z]') and not regexp_matches(m, '^[A-Za-z]?[a-z]+$') and not regexp_matches(m, '^[a-z]+([-_/=][a-z]+)+$')
+  and not regexp_matches(m, '(?i)example|placeholder|xxxx') and not (m = repeat(m[1:1], length(m)) or m = repeat(m[1:2], length(m) // 2) or m = repeat(m[1:3], length(m) // 3) or m = repeat(m[1:4], length(m) // 4))
+  and not exists (select 1 from b where b.doc_id = x.doc_id and b.s < x.e and x.s < b.e)),
+h as (select doc_id, s, e, m, list_aggregate(string_split(substr(m, j, 20), ''), 'entropy') as h from (select *, unnest(range(1, length(m) - 18)) as j from c)),
+f as (select doc_id, 3 as k, s, e from h group by doc_id, s, e, m having max(h) >= case when regexp_matches(m, '^[0-9a-fA-F]+$') then 3.0 when regexp_matches(m, '^[A-Z2-7=]+$') then 3.4 else 3.7 end),
+a as (select *, concat(['assign', 'access', 'hex', 'entropy'][k + 1], ':', s, ':', e) as y from (select * from b union all select * from f))
+select d.doc_id, count(*) filter (k = 0) as n_assign, count(*) filter (k = 1) as n_access, count(*) filter (k = 2) as n_hex,
+  sha256(coalesce(string_agg(y, ',' order by s, k, e) filter (k < 3), '')) as base_sha256, coalesce(string_agg(y, ',' order by s, k, e), '') as spans from d left join a using (doc_id) group by d.doc_id"""
