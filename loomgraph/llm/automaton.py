@@ -100,10 +100,10 @@ class Automaton:
 
 
 def automaton_matches(plan: Plan, gram: np.ndarray, doc: np.ndarray, pos: np.ndarray, size: np.ndarray, raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(doc, start, end) of windows that also start in a smaller document of the same gram."""
+    """(context, start, end) of windows that also start in a smaller document of the same gram."""
     base = (np.cumsum(size) - size).tolist()
     order = np.lexsort((pos, doc, gram)).tolist()
-    owner = (doc >> 16 if plan.tagged else doc).tolist()
+    owner = doc.tolist()
     grams, lengths = gram.tolist(), size.tolist()
     found: list[tuple[int, int]] = []
 
@@ -131,7 +131,7 @@ def automaton_matches(plan: Plan, gram: np.ndarray, doc: np.ndarray, pos: np.nda
         none = np.zeros(0, np.int64)
         return none, none, none
     row, end = np.array(found, np.int64).T
-    return doc[row], pos[row] + end - plan.width, pos[row] + end
+    return row, pos[row] + end - plan.width, pos[row] + end
 
 
 def _finish(text: bytes, start: np.ndarray, end: np.ndarray) -> dict:

@@ -22,13 +22,13 @@ WIDTH, GRAM = 50, 20
 
 
 def radix_groups(plan: Plan, gram: np.ndarray, doc: np.ndarray, pos: np.ndarray, size: np.ndarray, raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(doc, start, end) of windows that also start in a smaller document of the same gram."""
+    """(context, start, end) of windows that also start in a smaller document of the same gram."""
     data = np.frombuffer(raw + bytes(8), np.uint8)
     base = np.cumsum(size) - size
     n = np.maximum(size - plan.width + 1, 0)
     of = np.repeat(np.arange(len(size)), n)
     shift = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
-    at, owner = base[of] + shift, (doc >> 16 if plan.tagged else doc)[of]
+    at, owner = base[of] + shift, doc[of]
     _, group = np.unique(gram, return_inverse=True)
     group = group[of].astype(np.int64)
     rows = np.arange(len(of))
@@ -53,7 +53,7 @@ def radix_groups(plan: Plan, gram: np.ndarray, doc: np.ndarray, pos: np.ndarray,
     least = np.minimum.reduceat(owner[rows], cut)[np.cumsum(np.r_[True, group[1:] != group[:-1]]) - 1]
     hit = rows[owner[rows] > least]
     start = pos[of[hit]] + shift[hit]
-    return doc[of[hit]], start, start + plan.width
+    return of[hit], start, start + plan.width
 
 
 def _finish(text: bytes, start: np.ndarray, end: np.ndarray) -> dict:

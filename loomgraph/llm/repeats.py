@@ -18,8 +18,9 @@ Rows travel as packed arrays, one per bucket and flush, so what is shuffled is n
 anchors themselves. Contexts that repeat within a task are resolved there before the shuffle: one
 passage in a third of all documents costs one row per task.
 
-Rows with a null doc_id neither match nor are matched. Rows that share a doc_id never match each
-other; they are told apart by a tag of their text.
+Rows with a null doc_id neither match nor are matched and are not shuffled. Rows that share a doc_id
+never match each other; where some do, every row is addressed by a 64-bit hash of its id and text, so
+only equal rows share an address, and they share their spans as well.
 """
 
 from __future__ import annotations
@@ -37,21 +38,25 @@ from .common import Chunk, byte_values, chunks, mix, powers, prefix_sums, saved,
 
 HOT = 20000
 FLUSH = 1_200_000
+#: Bytes of text behind a bucket of anchors, and in a bucket of documents: more text has more buckets, so
+#: what one worker holds does not grow with the input.
+ANCHOR_BYTES, BUCKET_BYTES = 64 << 20, 16 << 20
 _SCHEMA = "kind string, bucket long, data binary"
 #: Columns packed in the narrowest type above their least value; all others are packed as they are.
-_SIGNED = ("doc", "pos", "start", "end", "size")
+_SIGNED = ("doc", "row", "pos", "start", "end", "size")
 
 
 @dataclass(frozen=True)
 class Plan:
-    """What repeats: `width` tokens (bytes or words), anchored on grams of `gram` tokens."""
+    """What repeats: `width` tokens (bytes or words), anchored on grams of `gram` tokens. `shared`: some
+    rows share a doc_id, so rows have addresses of their own."""
 
     unit: str
     width: int
     gram: int
     buckets: int
     doc_buckets: int
-    tagged: bool
+    shared: bool
 
     @property
     def reach(self) -> int:
@@ -108,7 +113,7 @@ def rows_of(rows: list[tuple[str, int, bytes]]) -> pa.RecordBatch:
 
 
 def merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Spans of each doc with overlapping and touching ones joined."""
+    """Spans of each row with overlapping and touching ones joined."""
     if not len(doc):
         return doc, start, end
     order = np.lexsort((start, doc))
@@ -187,23 +192,26 @@ def _classes(a: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 def _spans(a: dict[str, np.ndarray], plan: Plan) -> Iterator[tuple[str, int, bytes]]:
     """Rows of kind done: covered contexts, by bucket of documents."""
-    key = a["doc"] * 65536 + a["tag"] if plan.tagged else a["doc"]
-    d, s, e = merged(key, a["pos"] - a["left"], a["pos"] + plan.gram + a["right"])
-    for b, blob in split((d >> 16 if plan.tagged else d) % plan.doc_buckets, {"doc": d, "start": s, "end": e}):
+    return _done(plan, a["row" if plan.shared else "doc"], a["pos"] - a["left"], a["pos"] + plan.gram + a["right"])
+
+
+def _done(plan: Plan, row: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[tuple[str, int, bytes]]:
+    r, s, e = merged(row, start, end)
+    for b, blob in split(r % plan.doc_buckets, {"row": r, "start": s, "end": e}):
         yield "done", b, blob
 
 
 def _shipped(parts: list[tuple[np.ndarray, ...]], plan: Plan) -> Iterator[tuple[str, int, bytes]]:
-    names = ("doc", "tag", "pos", "gram", "ctx", "left", "right")
+    names = ("doc", "row", "pos", "gram", "ctx", "left", "right")
     a = {k: np.concatenate(v) for k, v in zip(names, zip(*parts))}
     if not len(a["doc"]):
         return
+    if not plan.shared:
+        a.pop("row")
     order, least = _classes(a)
     a = {k: v[order] for k, v in a.items()}
     yield from _spans({k: v[~least] for k, v in a.items()}, plan)
     a = {k: v[least] for k, v in a.items()}
-    if not plan.tagged:
-        a.pop("tag")
     bucket = (a["gram"] % np.uint64(plan.buckets)).astype(np.int64)
     a["gram"] = (a["gram"] >> np.uint64(32)).astype(np.uint32)
     for b, blob in split(bucket, a):
@@ -214,17 +222,13 @@ def _anchor_rows(plan: Plan):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
         for batch in batches:
-            ids = batch.column(0)
-            docs, texts = np.asarray(ids.fill_null(0)), text_array(batch.column(1))
-            known = np.asarray(ids.is_valid())
-            tags = np.asarray(batch.column(2)).astype(np.uint16) if plan.tagged else np.zeros(len(docs), np.uint16)
+            docs, texts, rows = np.asarray(batch.column(0)), text_array(batch.column(1)), np.asarray(batch.column(2))
             for chunk in chunks(texts):
                 of, pos, gram, ctx, left, right = anchors(Tokens(chunk, plan.unit), plan.width, plan.gram)
-                of = of + chunk.lo
-                ok = known[of] if len(of) else np.zeros(0, bool)
                 if len(of):
-                    parts.append((docs[of][ok], tags[of][ok].astype(np.uint16), pos[ok], gram[ok], ctx[ok], left[ok].astype(np.uint8), right[ok].astype(np.uint8)))
-                    held += int(ok.sum())
+                    of = of + chunk.lo
+                    parts.append((docs[of], rows[of], pos, gram, ctx, left.astype(np.uint8), right.astype(np.uint8)))
+                    held += len(of)
                 if held >= FLUSH:
                     yield rows_of(list(_shipped(parts, plan)))
                     parts, held = [], 0
@@ -239,11 +243,9 @@ def _resolve(plan: Plan):
         kind, bucket = key
         if kind == "done":
             a = gather(pdf.data)
-            d, s, e = merged(a["doc"], a["start"], a["end"])
-            return pd.DataFrame({"kind": ["done"], "bucket": [bucket], "data": [pack(doc=d, start=s, end=e)]})
+            r, s, e = merged(a["row"], a["start"], a["end"])
+            return pd.DataFrame({"kind": ["done"], "bucket": [bucket], "data": [pack(row=r, start=s, end=e)]})
         a = gather(pdf.data)
-        if not plan.tagged:
-            a["tag"] = np.zeros(len(a["doc"]), np.uint16)
         a["gram"] = (a["gram"].astype(np.uint64) << np.uint64(32)) | np.uint64(bucket)
         order, least = _classes(a)
         a = {k: v[order] for k, v in a.items()}
@@ -258,12 +260,10 @@ def _resolve(plan: Plan):
         lo, hi = np.minimum.reduceat(d, at), np.maximum.reduceat(d, at)
         ask = ((n_classes > 1) & (lo < hi))[of]
         if ask.any():
-            q = {k: a[k][ask] for k in ("doc", "tag", "pos", "gram", "left", "right")}
+            q = {k: a[k][ask] for k in ("pos", "gram", "left", "right")}
+            q["row"] = a["row" if plan.shared else "doc"][ask]
             q["hot"] = (n_classes[of][ask] > HOT).astype(np.uint8)
-            if plan.tagged:
-                q["doc"] = q["doc"] * 65536 + q["tag"]
-            q.pop("tag")
-            rows += [("ask", b, blob) for b, blob in split((q["doc"] >> 16 if plan.tagged else q["doc"]) % plan.doc_buckets, q)]
+            rows += [("ask", b, blob) for b, blob in split(q["row"] % plan.doc_buckets, q)]
         return pd.DataFrame(rows, columns=["kind", "bucket", "data"])
 
     return run
@@ -277,14 +277,14 @@ def _contexts(plan: Plan):
         out: list[tuple[str, int, bytes]] = []
         if asks.num_rows and docs.num_rows:
             q = gather(asks.column("data").to_pylist())
-            order = np.lexsort((q["pos"], q["doc"]))
+            order = np.lexsort((q["pos"], q["row"]))
             q = {k: v[order] for k, v in q.items()}
-            keys = _keys(docs, plan)
+            keys, owners = (_numbers(docs, c) for c in ("row", "doc_id"))
             texts = text_array(docs.column("text"))
-            got: dict[str, list] = {k: [] for k in ("gram", "doc", "pos", "size", "raw")}
+            got: dict[str, list] = {k: [] for k in ("gram", "doc", "row", "pos", "size", "raw")}
             for chunk in chunks(texts):
                 ids = keys[chunk.lo : chunk.lo + chunk.n]
-                lo, hi = np.searchsorted(q["doc"], ids, "left"), np.searchsorted(q["doc"], ids, "right")
+                lo, hi = np.searchsorted(q["row"], ids, "left"), np.searchsorted(q["row"], ids, "right")
                 if not (hi > lo).any():
                     continue
                 t = Tokens(chunk, plan.unit)
@@ -306,7 +306,8 @@ def _contexts(plan: Plan):
                             if g is None:
                                 g = int(_piece_hash(piece))
                             got["gram"].append(g)
-                            got["doc"].append(int(ids[i]))
+                            got["doc"].append(int(owners[chunk.lo + i]))
+                            got["row"].append(int(ids[i]))
                             got["pos"].append(x)
                             got["size"].append(len(piece))
                             got["raw"].append(piece)
@@ -316,11 +317,11 @@ def _contexts(plan: Plan):
                 order = np.argsort(bucket, kind="stable")
                 b = bucket[order]
                 cut = np.flatnonzero(np.r_[True, b[1:] != b[:-1]])
-                doc, pos, size = (np.array(got[k], np.int64) for k in ("doc", "pos", "size"))
+                a = {k: np.array(got[k], np.int64) for k in (("doc", "row") if plan.shared else ("doc",)) + ("pos", "size")} | {"gram": g}
                 for x, y in zip(cut.tolist(), [*cut[1:].tolist(), len(b)]):
                     o = order[x:y]
                     data = b"".join(got["raw"][i] for i in o.tolist())
-                    out.append(("context", int(b[x]), pack(gram=g[o], doc=doc[o], pos=pos[o], size=size[o]) + pack(raw=np.frombuffer(data, np.uint8))))
+                    out.append(("context", int(b[x]), pack(**{k: v[o] for k, v in a.items()}) + pack(raw=np.frombuffer(data, np.uint8))))
         return pa.Table.from_batches([rows_of(out)])
 
     return run
@@ -332,24 +333,22 @@ def _piece_hash(piece: bytes) -> int:
     return xxhash.xxh64_intdigest(piece, 1)
 
 
-def _keys(docs: pa.Table, plan: Plan) -> np.ndarray:
-    ids = docs.column("doc_id").combine_chunks()
-    out = np.asarray(ids.fill_null(0)).astype(np.int64)
-    if plan.tagged:
-        out = out * 65536 + np.asarray(docs.column("tag").combine_chunks()).astype(np.int64)
-    return np.where(np.asarray(ids.is_valid()), out, np.iinfo(np.int64).min)
+def _numbers(docs: pa.Table, column: str) -> np.ndarray:
+    return np.asarray(docs.column(column).combine_chunks()).astype(np.int64)
 
 
+#: (plan, gram, owning doc, position, size in bytes, texts) of contexts -> (index of a context, start, end) of
+#: the windows that also start in a smaller document of the same gram.
 Kernel = Callable[[Plan, np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
 def _kernel_rows(plan: Plan, kernel: Kernel):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         parts = [unpack(b) for b in pdf.data]
-        gram, doc, pos, size = (np.concatenate([p[k] for p in parts]) for k in ("gram", "doc", "pos", "size"))
+        gram, doc, row, pos, size = (np.concatenate([p[k] for p in parts]) for k in ("gram", "doc", "row" if plan.shared else "doc", "pos", "size"))
         raw = b"".join(p["raw"].tobytes() for p in parts)
-        d, s, e = merged(*kernel(plan, gram, doc, pos, size, raw))
-        rows = [("done", b, blob) for b, blob in split((d >> 16 if plan.tagged else d) % plan.doc_buckets, {"doc": d, "start": s, "end": e})] if len(d) else []
+        of, s, e = kernel(plan, gram, doc, pos, size, raw)
+        rows = list(_done(plan, row[of], s, e)) if len(of) else []
         return pd.DataFrame(rows, columns=["kind", "bucket", "data"])
 
     return run
@@ -368,15 +367,17 @@ def repeated(docs: DataFrame, unit: str, width: int, gram: int, kernel: Kernel,
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    tagged = bool(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count())
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    plan = Plan(unit, width, gram, max(48, 4 * parts), _prime(max(48, 4 * parts)), tagged)
-    if tagged:
-        docs = docs.withColumn("tag", F.expr("cast(xxhash64(coalesce(text, '')) & 65535L as int)"))
+    known = docs.where("doc_id is not null")
+    per_id = known.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("b"))
+    seen = per_id.agg(F.max("n").alias("n"), F.sum("b").alias("b")).first()
+    parts, size = int(spark.conf.get("spark.sql.shuffle.partitions")), int(seen.b or 0)
+    shared = (seen.n or 0) > 1
+    plan = Plan(unit, width, gram, max(48, 4 * parts, size // ANCHOR_BYTES), _prime(max(48, 4 * parts, size // BUCKET_BYTES)), shared)
+    known = known.withColumn("row", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))) if shared else F.col("doc_id"))
     folder = work_folder(spark)
-    first = docs.mapInArrow(_anchor_rows(plan), _SCHEMA).groupBy("kind", "bucket").applyInPandas(_resolve(plan), _SCHEMA)
+    first = known.mapInArrow(_anchor_rows(plan), _SCHEMA).groupBy("kind", "bucket").applyInPandas(_resolve(plan), _SCHEMA)
     first = saved(first, folder, "anchors")
-    placed = docs.withColumn("bucket", F.coalesce(F.expr(f"pmod(doc_id, {plan.doc_buckets}L)"), F.lit(0).cast("long")))
+    placed = known.withColumn("bucket", F.expr(f"pmod(row, {plan.doc_buckets}L)"))
     asks = first.where("kind = 'ask'")
     contexts = placed.groupBy("bucket").cogroup(asks.groupBy("bucket")).applyInArrow(_contexts(plan), _SCHEMA)
     second = saved(contexts.groupBy("bucket").applyInPandas(_kernel_rows(plan, kernel), _SCHEMA), folder, "contexts")
@@ -385,22 +386,30 @@ def repeated(docs: DataFrame, unit: str, width: int, gram: int, kernel: Kernel,
     arrow = {"long": pa.int64(), "binary": pa.binary(), "string": pa.string()}
     kinds = [arrow[x.strip().split(" ")[1]] for x in schema.split(",")]
 
-    def apply(docs: pa.Table, spans: pa.Table) -> pa.Table:
-        keys, known = _keys(docs, plan), np.asarray(docs.column("doc_id").combine_chunks().is_valid()) if docs.num_rows else np.zeros(0, bool)
-        a = gather(spans.column("data").to_pylist()) if spans.num_rows else {k: np.zeros(0, np.int64) for k in ("doc", "start", "end")}
-        d, s, e = merged(a["doc"], a["start"], a["end"])
-        lo, hi = np.searchsorted(d, keys, "left"), np.searchsorted(d, keys, "right")
+    def finished(ids: pa.Array, texts: pa.Array, lo: np.ndarray, hi: np.ndarray, s: np.ndarray, e: np.ndarray) -> pa.RecordBatch:
         out: dict[str, list] = {f: [] for f in fields[1:]}
-        at = 0
-        texts = text_array(docs.column("text")) if docs.num_rows else None
-        for chunk in chunks(texts) if texts is not None else ():
+        for chunk in chunks(texts):
             raw = chunk.data.tobytes()
             for i in range(chunk.n):
-                x, y = (int(lo[at]), int(hi[at])) if known[at] else (0, 0)
+                x, y = int(lo[chunk.lo + i]), int(hi[chunk.lo + i])
                 for k, v in finish(raw[chunk.offs[i] : chunk.offs[i + 1]], s[x:y], e[x:y]).items():
                     out[k].append(v)
-                at += 1
-        ids = docs.column("doc_id").combine_chunks().cast(pa.int64())
-        return pa.Table.from_arrays([ids, *(pa.array(out[f], k) for f, k in zip(fields[1:], kinds[1:]))], names=fields)
+        return pa.RecordBatch.from_arrays([ids, *(pa.array(out[f], k) for f, k in zip(fields[1:], kinds[1:]))], names=fields)
+
+    def apply(docs: pa.Table, spans: pa.Table) -> pa.Table:
+        if not docs.num_rows:
+            return pa.schema(zip(fields, kinds)).empty_table()
+        a = gather(spans.column("data").to_pylist()) if spans.num_rows else {k: np.zeros(0, np.int64) for k in ("row", "start", "end")}
+        r, s, e = merged(a["row"], a["start"], a["end"])
+        keys = _numbers(docs, "row")
+        lo, hi = np.searchsorted(r, keys, "left"), np.searchsorted(r, keys, "right")
+        return pa.Table.from_batches([finished(docs.column("doc_id").combine_chunks(), text_array(docs.column("text")), lo, hi, s, e)])
+
+    def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.zeros(0, np.int64)
+        for batch in batches:
+            at = np.zeros(batch.num_rows, np.int64)
+            yield finished(batch.column(0), text_array(batch.column(1)), at, at, none, none)
 
-    return placed.groupBy("bucket").cogroup(done.groupBy("bucket")).applyInArrow(apply, schema)
+    out = placed.groupBy("bucket").cogroup(done.groupBy("bucket")).applyInArrow(apply, schema)
+    return out.unionByName(docs.where("doc_id is null").mapInArrow(untouched, schema))

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -89,6 +90,31 @@ def test_quality_learns_thresholds():
     assert hit[:300].mean() > 0.95 and hit[300:].mean() < 0.01
 
 
+def test_verdict_equals_the_rules(spark, docs):
+    """The Spark conditional names the first rule whose conditions hold, row by row."""
+    df, _ = docs
+    rules = [(quality.Condition("symbols_per_word", True, 0.05), quality.Condition("upper_share", False, 0.2)), (quality.Condition("repeat_share", True, 0.1),), (quality.Condition("digit_share", True, 0.0),)]
+    got = quality.judged(df, rules).select("rule", "kept", "base_failed", *(quality.feature(n).alias(n) for n in quality.FEATURES)).toPandas()
+    x = got[list(quality.FEATURES)].to_numpy(float)
+    first = np.full(len(x), -1)
+    for k in reversed(range(len(rules))):
+        first[quality._mask(rules[k], x)] = k
+    assert (got.rule.fillna(-1).to_numpy() == first).all() and len(set(first)) > 2
+    assert (got.kept.to_numpy() == ((first < 0) & ~got.base_failed.to_numpy(bool))).all()
+
+
+def test_learning_takes_one_row_a_label(spark):
+    """Many rows of one labelled id count once, whatever their order."""
+    rng = np.random.default_rng(2)
+    text = lambda bad: " ".join(("#$%" if bad and rng.random() < 0.7 else "word") for _ in range(30))
+    rows = [(k, text(k % 2)) for k in range(60)] + [(0, "#$% " * 30)] * 300
+    labels = spark.createDataFrame([(k, 1 - k % 2, k % 2) for k in range(60)], "doc_id int, quality int, toxic int")
+    df = spark.createDataFrame(rows, "doc_id int, text string")
+    assert quality.learn(df, labels) == quality.learn(df.repartition(7), labels) != []
+    a, b = toxicity.fit(df, labels), toxicity.fit(df.repartition(7), labels)
+    assert a.intercept == b.intercept and (a.index == b.index).all() and (a.weight == b.weight).all()
+
+
 @pytest.mark.parametrize("operator", ["bytes", "words"])
 def test_repeats(spark, docs, operator):
     df, rows = docs
@@ -124,7 +150,26 @@ def test_repeats_with_shared_ids(spark):
     line = "a line of words that comes up again in other documents of this small table here"
     df = spark.createDataFrame([(1, line), (1, "other text before " + line), (2, line), (2, "new " + line + " end")], "doc_id long, text string")
     got = sorted((r.doc_id, r.n_words, r.n_removed) for r in automaton.without_repeats(df).collect())
-    assert got == [(1, 15, 0), (1, 18, 0), (2, 15, 15), (2, 17, 15)] or got == [(1, 16, 0), (1, 19, 0), (2, 16, 16), (2, 18, 16)]
+    assert got == [(1, 16, 0), (1, 19, 0), (2, 16, 16), (2, 18, 16)]
+
+
+@pytest.mark.parametrize("repeat", [False, True])
+def test_repeats_with_large_and_null_ids(spark, repeat):
+    """Ids near 2^62 and below zero, one of them repeated, and a tenth of the rows without an id."""
+    rng = np.random.default_rng(9)
+    words = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**9, n))
+    shared = words(16)
+    top = 1 << 62
+    rows = [(top - 1, words(5) + " " + shared), (top, shared + " " + words(7)), (-top, words(20)), (-top + 1, words(3) + " " + shared)]
+    rows += [(top - 1, words(30))] if repeat else []
+    rows += [(top + 7 * k, words(20)) for k in range(1, 30)] + [(None, shared)] * 4
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for module, column in ((automaton, "n_words"), (radix, "n_bytes")):
+        out = module.without_repeats(df).collect()
+        assert len(out) == len(rows)
+        want = 16 if column == "n_words" else len(shared) + 1
+        gone = {r.doc_id: r.n_removed for r in out if r.n_removed}
+        assert set(gone) == {top - 1, top} and all(want - 1 <= n <= want for n in gone.values())
 
 
 def test_contexts_whose_hashes_share_their_upper_half(spark):
@@ -137,6 +182,14 @@ def test_contexts_whose_hashes_share_their_upper_half(spark):
     assert {r.doc_id: bytes(r.kept).decode() for r in radix.without_repeats(df).collect()} == dict(enumerate(texts))
 
 
+def test_contexts_of_one_gram_that_differ(spark):
+    """Thirteen words of which eight are shared; hashes of these contexts agree in their upper 32 bits."""
+    gram = "jaid gbbh daie eaih ecgf jced dfhf gaaf"
+    tails = ("w69394126 w756303481 w720259777 w545240692 w916076006", "w465947262 w91147927 w520890858 w225331762 w902264952")
+    df = spark.createDataFrame([(k + 1, f"{gram} {t}") for k, t in enumerate(tails)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.n_removed) for r in automaton.without_repeats(df).collect()) == [(1, 0), (2, 0)]
+
+
 def test_hot_grams_are_split_by_window(spark, monkeypatch):
     from loomgraph.llm import repeats
 
@@ -265,6 +318,36 @@ def test_secrets(spark, docs):
     assert one.text == "😀 key é [SECRET] and [SECRET] now" and one.n_chars == len(one.text)
 
 
+def test_secrets_of_a_text_with_very_many(spark):
+    """Twenty thousand matches in one text, within a minute, and equal to the brute-force spans."""
+    rng = np.random.default_rng(4)
+    parts = []
+    for k in range(10000):
+        parts += [f"token=abcdefg{k}", "".join(rng.choice(list("0123456789abcdef"), 30))]
+    text = " ".join(parts)
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.time()
+    row = secrets.scan(df).first()
+    assert time.time() - began < 60
+    assert [tuple(x) for x in row.base_spans] == _base_spans(text)
+    out = secrets.stage_secrets(spark, df, SF).first().text
+    assert out == " ".join(["[SECRET]"] * 20000)
+
+
+def test_redaction_across_blocks(spark):
+    """Spans that begin, end or overlap at the blocks' edges, with characters beyond 16 bits."""
+    rng = np.random.default_rng(6)
+    text = "".join(rng.choice(list("ab \n😀é"), 3 * secrets._BLOCK + 17))
+    for spans in ([(4090, 0, 4100), (8192, 0, 8200)], [(0, 0, 5000), (4000, 1, 9000), (9000, 0, 9001)], [(10, 0, len(text))], [(4096, 0, 8192), (5000, 1, 5001)]):
+        df = spark.createDataFrame([(text, [dict(zip("ske", x)) for x in spans])], "text string, spans array<struct<s:int,k:int,e:int>>")
+        want, at = "", 0
+        for s, _, e in spans:
+            if e > at:
+                want += text[at : max(s, at)] + ("[SECRET]" if s >= at else "")
+                at = e
+        assert df.select(secrets.redacted()).first()[0] == want + text[at:]
+
+
 def test_chat_round_trip(spark):
     nasty = [r"\### Assistant: </turn> ok", "### user: \n</turn>\n", "\\", "\\\\### ", None, "", ": x", "a</turn", "\\: </turn>"]
     rows = [(1, k, "user" if k % 2 == 0 else "assistant", t) for k, t in enumerate(nasty)]
@@ -295,3 +378,34 @@ def test_toxicity_held_out(spark):
     r = toxicity.score(spark.createDataFrame([(1, None), (None, "")], "doc_id long, text string"), toxicity.fit(docs, labels.limit(0))).collect()
     assert all(0 <= x.score < 0.5 for x in r)
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in out.limit(50).collect())
+
+
+def test_ftrl_equals_a_plain_loop():
+    """Per-coordinate rates and L1 against the textbook update, coordinate by coordinate."""
+    import math
+
+    rng = np.random.default_rng(1)
+    rows = [np.unique(rng.integers(0, 40, 6)) for _ in range(80)]
+    y = np.array([float(3 in r or 7 in r) for r in rows])
+    alpha, beta, l1, l2 = 0.7, 1.0, 0.4, 0.5
+    z, n = {}, {}
+    bias = 1 << toxicity.BITS
+
+    def weight(i):
+        zi, lasso = z.get(i, 0.0), 0.0 if i == bias else l1
+        return 0.0 if abs(zi) <= lasso else -(zi - math.copysign(lasso, zi)) / ((beta + math.sqrt(n.get(i, 0.0))) / alpha + l2)
+
+    order = np.random.default_rng(11)
+    for _ in range(2):
+        for k in order.permutation(len(rows)):
+            coords = [*rows[k].tolist(), bias]
+            w = [weight(i) for i in coords]
+            g = 1 / (1 + math.exp(-sum(w))) - y[k]
+            for i, wi in zip(coords, w):
+                sigma = (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / alpha
+                z[i] = z.get(i, 0.0) + g - sigma * wi
+                n[i] = n.get(i, 0.0) + g * g
+    m = toxicity.learn(rows, y, alpha=alpha, beta=beta, l1=l1, l2=l2, epochs=2)
+    want = {i: weight(i) for i in range(40) if weight(i)}
+    assert dict(zip(m.index.tolist(), m.weight.tolist())) == pytest.approx(want) and m.intercept == pytest.approx(weight(bias))
+    assert 0 < len(want) < 40
