@@ -7,8 +7,9 @@ ordered list as one Spark conditional expression, so applying it costs no Python
 
 Defined cases: a null or empty text has no words and zero statistics (and fails the base rule); no
 usable labels give an empty list, which keeps whatever the base rule keeps; labels that contradict
-each other for one doc_id, and null labels, are left out of learning; repeated documents count once
-per row; further columns are carried through untouched by `statistics(keep=True)`.
+each other for one doc_id, and null labels, are left out of learning; of rows that share a labelled
+doc_id, learning looks at the one with the least ratios; further columns are carried through
+untouched by `statistics(keep=True)`.
 """
 
 from __future__ import annotations
@@ -241,8 +242,9 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[Rule
 
     The sample of labels is bounded by `sample` rows of two numbers, so it is broadcast."""
     rows = F.broadcast(labelled_sample(labels, "quality", sample))
-    stats = statistics(docs.select("doc_id", "text").join(rows, "doc_id", "left_semi"))
-    got = stats.join(rows, "doc_id").select("y", *(feature(n).alias(n) for n in FEATURES)).limit(4 * sample).toPandas()
+    stats = statistics(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(rows, "doc_id", "left_semi"))
+    per_id = stats.groupBy("doc_id").agg(F.min(F.struct(*(feature(n).alias(n) for n in FEATURES))).alias("x"))  # one row a label
+    got = per_id.join(rows, "doc_id").select("y", "x.*").toPandas()
     if got.empty or got.y.nunique() < 2:
         return []
     got = got.sort_values(list(got.columns)).reset_index(drop=True)

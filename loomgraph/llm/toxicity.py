@@ -6,8 +6,9 @@ the few weights that stay (their number is bounded by the table of `BITS` bits)
 `score` needs one pass without a shuffle.
 
 Defined cases: a null or empty text has only the intercept's score; repeated words count once;
-contradicting or null labels are left out of learning; without usable labels every score is 0.5 less
-a hair (predicted 0); further columns are ignored.
+contradicting or null labels are left out of learning; of rows that share a labelled doc_id, learning
+looks at the one with the least features; a null doc_id is scored like any other and is not held out;
+without usable labels every score is 0.5 less a hair (predicted 0); further columns are ignored.
 """
 
 from __future__ import annotations
@@ -51,11 +52,12 @@ class Model:
         return w
 
 
-def learn(rows: list[np.ndarray], y: np.ndarray, *, alpha: float = 1.5, beta: float = 1.0, l1: float = 6.0, l2: float = 1.0, epochs: int = 5) -> Model:
-    """FTRL-proximal, one row at a time, over rows of distinct feature numbers."""
+def learn(rows: list[np.ndarray], y: np.ndarray, *, alpha: float = 1.5, beta: float = 1.0, l1: float = 6.0, l2: float = 1.0, epochs: int = 5, seed: int = 11) -> Model:
+    """FTRL-proximal, one row at a time in an order drawn from `seed`, over rows of distinct feature
+    numbers; the intercept has no L1 penalty."""
     z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
     bias = 1 << BITS
-    rng = np.random.default_rng(11)
+    rng = np.random.default_rng(seed)
 
     def weights(i: np.ndarray) -> np.ndarray:
         zi = z[i]
@@ -91,17 +93,18 @@ def features(docs: DataFrame) -> DataFrame:
                 out += [f32[cut[i] : cut[i + 1]].tobytes() for i in range(chunk.n)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["doc_id", "features"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, features binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, features binary")
 
 
 def held_out() -> Column:
-    return (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5) == 0
+    return F.coalesce((F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5) == 0, F.lit(False))
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, usable: Column | None = None) -> Model:
     """Fit on at most `sample` labelled rows (bounded, hence broadcast and gathered); `usable` limits them."""
     rows = F.broadcast(labelled_sample(labels, "toxic", sample, usable))
-    got = features(docs.select("doc_id", "text").join(rows, "doc_id", "left_semi")).join(rows, "doc_id").select("doc_id", "features", "y").limit(2 * sample).toArrow()
+    per_id = features(docs.select("doc_id", "text").join(rows, "doc_id", "left_semi")).groupBy("doc_id").agg(F.min("features").alias("features"))  # one row a label
+    got = per_id.join(rows, "doc_id").select("doc_id", "features", "y").toArrow()
     order = np.argsort(got["doc_id"].to_numpy(), kind="stable")
     raw = got["features"].to_pylist()
     y = got["y"].to_numpy().astype(float)[order]
