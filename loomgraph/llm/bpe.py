@@ -47,6 +47,9 @@ class Codec:
         kind = spec.get("pre_tokenizer") or {}
         if spec["model"]["type"] != "BPE" or kind.get("type") != "ByteLevel" or spec.get("normalizer"):
             raise ValueError(f"{path}: a byte-level BPE vocabulary without normalizer is needed")
+        flags = [t for t in spec.get("added_tokens", []) if t.get("lstrip") or t.get("rstrip") or t.get("single_word")]
+        if kind.get("add_prefix_space") or not kind.get("use_regex", True) or flags or spec["model"].get("ignore_merges"):
+            raise ValueError(f"{path}: prefix spaces, other patterns, stripping tokens and ignored merges are not supported")
         symbol = _byte_of_symbol()
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         raw = {bytes(symbol[c] for c in tok): i for tok, i in spec["model"]["vocab"].items() if tok not in self.special}
