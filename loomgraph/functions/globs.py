@@ -21,11 +21,16 @@ class Glob:
     stars: int  # a double star counts as two
 
     def matches(self, path: Column) -> Column:
-        """A plain prefix test where the glob is one, else the regular expression behind its literal
-        prefix, which turns most paths away without a regular expression."""
+        """A plain prefix test where the glob is one, tests of both ends where it has one star, else the
+        regular expression behind its literal prefix, which turns most paths away without it."""
         head = self.text[: self.prefix]
         if self.text == head + "**" and head.endswith("/"):
             return path.startswith(head)
+        if self.stars == 1:
+            tail = self.text[self.prefix + 1 :]
+            middle = F.substring(path, F.lit(len(head) + 1), F.length(path) - len(head) - len(tail))
+            ends = path.startswith(head) & path.endswith(tail) if head else path.endswith(tail)
+            return ends & (F.length(path) >= len(head) + len(tail)) & ~middle.contains("/") & ~middle.contains("\n")
         return path.startswith(head) & path.rlike(self.regex) if head else path.rlike(self.regex)
 
     def test(self, path: str) -> bool:
