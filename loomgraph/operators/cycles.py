@@ -7,12 +7,14 @@ linear in the pairs, with each round written to the shared checkpoint folder.
 
 from __future__ import annotations
 
+import itertools
 from collections import defaultdict, deque
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..errors import ReportError
+from ..session import checkpointed
 from .edges import cross_module
 
 SMALL = 200_000
@@ -84,32 +86,28 @@ def components(edges: DataFrame, small: int = SMALL) -> DataFrame:
 def coloured_components(pairs: DataFrame) -> DataFrame:
     """(module, anchor) by forward colouring with the least name and backward search within a colour."""
     spark = pairs.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="loomgraph-"))
-    live = pairs.where("from_module <> to_module").distinct().checkpoint()
+    live = checkpointed(pairs.where("from_module <> to_module").distinct())
     done = None
     while live.limit(1).count():
         nodes = live.selectExpr("from_module as v").union(live.selectExpr("to_module as v")).distinct()
-        colour = nodes.withColumn("c", F.col("v")).checkpoint()
+        colour = checkpointed(nodes.withColumn("c", F.col("v")))
         while True:  # least name that reaches v
             sent = live.join(colour, live.from_module == colour.v).select(F.col("to_module").alias("v"), "c")
-            new = colour.union(sent).groupBy("v").agg(F.min("c").alias("c")).checkpoint()
+            new = checkpointed(colour.union(sent).groupBy("v").agg(F.min("c").alias("c")))
             if not new.exceptAll(colour).limit(1).count():
                 break
             colour = new
-        reached = colour.where("v = c").checkpoint()
-        inside = live.join(colour.selectExpr("v as from_module", "c as a"), "from_module").join(colour.selectExpr("v as to_module", "c as b"), "to_module").where("a = b").select("from_module", "to_module", "a").checkpoint()
+        reached = checkpointed(colour.where("v = c"))
+        inside = checkpointed(live.join(colour.selectExpr("v as from_module", "c as a"), "from_module").join(colour.selectExpr("v as to_module", "c as b"), "to_module").where("a = b").select("from_module", "to_module", "a"))
         while True:  # backward from each colour's root, within the colour
             more = inside.join(reached.selectExpr("v as to_module", "c as a"), ["to_module", "a"]).select(F.col("from_module").alias("v"), F.col("a").alias("c"))
-            new = reached.union(more).distinct().checkpoint()
+            new = checkpointed(reached.union(more).distinct())
             if new.count() == reached.count():
                 break
             reached = new
         done = reached if done is None else done.union(reached)
         gone = reached.select("v")
-        live = live.join(gone.withColumnRenamed("v", "from_module"), "from_module", "left_anti").join(gone.withColumnRenamed("v", "to_module"), "to_module", "left_anti").select("from_module", "to_module").checkpoint()
+        live = checkpointed(live.join(gone.withColumnRenamed("v", "from_module"), "from_module", "left_anti").join(gone.withColumnRenamed("v", "to_module"), "to_module", "left_anti").select("from_module", "to_module"))
     if done is None:
         return spark.createDataFrame([], "module string, anchor string")
     sizes = done.groupBy("c").agg(F.count("*").alias("n")).where("n > 1")
@@ -137,20 +135,26 @@ def shortest_cycle(pairs: list[tuple[str, str]], anchor: str) -> list[str]:
 
 
 def cycle_findings(edges: DataFrame, ignored: tuple[tuple[str, str], ...] = ()) -> DataFrame:
-    """One finding per component that no ignored pair lies in: anchor, size and a shortest cycle."""
+    """One finding per component that no ignored pair lies in: anchor, size, a shortest cycle, and the
+    earliest edge (path, line, col) of its first hop. Each component is solved by one task, which
+    holds its module pairs: an aggregate that the source tree bounds, not its edges."""
     spark = edges.sparkSession
-    members = defaultdict(set)
-    on_cycles = components(edges).limit(SMALL + 1).collect()
-    if len(on_cycles) > SMALL:
-        raise ReportError(f"More than {SMALL} modules lie on cycles.", "Use components() and declare coarser modules.")
-    for r in on_cycles:
-        members[r.anchor].add(r.module)
-    keep = {a: m for a, m in members.items() if not any(x in m and y in m for x, y in ignored)}
-    inside = {m for ms in keep.values() for m in ms}
-    both = module_pairs(edges).select("from_module", "to_module").where(F.col("from_module").isin(*inside) & F.col("to_module").isin(*inside) if inside else F.lit(False))
-    pairs = [(r.from_module, r.to_module) for r in both.collect()]
-    rows = [(a, len(m), " -> ".join(shortest_cycle([p for p in pairs if p[0] in m and p[1] in m], a))) for a, m in keep.items()]
-    return spark.createDataFrame(rows, "anchor string, size int, evidence string")
+    on = components(edges)
+    if ignored:
+        pairs = spark.createDataFrame(list(ignored), "a string, b string")
+        both = on.selectExpr("module as a", "anchor").join(on.selectExpr("module as b", "anchor"), "anchor")
+        on = on.join(both.join(pairs, ["a", "b"]).select("anchor").distinct(), "anchor", "left_anti")
+    hard = cross_module(edges).where(~F.col("is_type_only"))
+    first = hard.groupBy("from_module", "to_module").agg(F.min(F.struct("from_file", "line", "col")).alias("at"))
+    inside = first.join(on.selectExpr("module as from_module", "anchor", "size"), "from_module").join(on.selectExpr("module as to_module", "anchor as other"), "to_module").where("anchor = other")
+
+    def solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        path = shortest_cycle(list(zip(pdf.from_module, pdf.to_module)), key[0])
+        hop = pdf[(pdf.from_module == path[0]) & (pdf.to_module == path[1])].iloc[0]
+        return pd.DataFrame({"anchor": [key[0]], "size": [int(hop["size"])], "evidence": [" -> ".join(path)], "path": [hop["from_file"]], "line": [int(hop["line"])], "col": [int(hop["col"])]})
+
+    rows = inside.select("anchor", "size", "from_module", "to_module", "at.from_file", "at.line", "at.col")
+    return rows.groupBy("anchor").applyInPandas(solve, "anchor string, size int, evidence string, path string, line long, col long")
 
 
 def lopsided_pairs(edges: DataFrame, most_minority: int = 3, ratio: int = 3) -> DataFrame:
@@ -188,3 +192,21 @@ def layers(pairs: list[tuple[str, str]]) -> dict[str, int] | None:
                     later.append(w)
         now, n = sorted(later), n + 1
     return level if len(level) == len(nodes) else None
+
+
+def distributed_layers(pairs: DataFrame) -> tuple[DataFrame, bool]:
+    """(name, level) of every node of `pairs` (from_module, to_module) and whether all have one: a round
+    takes off the nodes that nothing left points to, as many rounds as the order is deep."""
+    left = checkpointed(pairs.where("from_module <> to_module").select("from_module", "to_module").distinct())
+    whole = left.count() == pairs.select("from_module", "to_module").distinct().count()
+    nodes = checkpointed(left.selectExpr("from_module as name").union(left.selectExpr("to_module as name")).distinct())
+    done = None
+    for level in itertools.count():
+        free = checkpointed(nodes.join(left.selectExpr("to_module as name"), "name", "left_anti").withColumn("level", F.lit(level)))
+        if not free.limit(1).count():
+            break
+        done = free if done is None else checkpointed(done.unionByName(free))
+        nodes = checkpointed(nodes.join(free, "name", "left_anti"))
+        left = checkpointed(left.join(free.selectExpr("name as from_module"), "from_module", "left_anti"))
+    none = pairs.sparkSession.createDataFrame([], "name string, level int")
+    return (done if done is not None else none), whole and not nodes.limit(1).count()

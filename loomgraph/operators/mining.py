@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..errors import ReportError
-from .cycles import SMALL, layers
+from .cycles import SMALL, distributed_layers, layers
 from .edges import cross_module, edge_counts, traffic
 
 
@@ -27,13 +26,16 @@ def majority_pairs(edges: DataFrame) -> DataFrame:
     return n.join(back, ["from_module", "to_module"], "left").na.fill(0, ["back"]).where("n > back")
 
 
-def layered_order(edges: DataFrame) -> DataFrame:
-    """(name, level, support): layers over majority directions; no rows if they form a cycle.
-    More than SMALL pairs are an error."""
+def layered_order(edges: DataFrame, small: int = SMALL) -> DataFrame:
+    """(name, level, support): layers over majority directions; no rows if they form a cycle. Up to
+    `small` pairs (checked) are layered on the driver, more of them round by round in the cluster."""
     spark = edges.sparkSession
-    rows = majority_pairs(edges).limit(SMALL + 1).collect()
-    if len(rows) > SMALL:
-        raise ReportError(f"More than {SMALL} pairs of modules have a majority direction.", "Declare coarser modules.")
+    pairs = majority_pairs(edges)
+    rows = pairs.limit(small + 1).collect()
+    if len(rows) > small:
+        level, whole = distributed_layers(pairs)
+        share = pairs.agg((F.sum("n") / (F.sum("n") + F.sum("back"))).alias("support"))  # one row
+        return level.where(F.lit(whole)).crossJoin(share)
     level = layers([(r.from_module, r.to_module) for r in rows]) if rows else None
     forward, back = sum(r.n for r in rows), sum(r.back for r in rows)
     return spark.createDataFrame([(k, v, forward / (forward + back)) for k, v in (level or {}).items()], "name string, level int, support double")

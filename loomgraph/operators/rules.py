@@ -189,13 +189,61 @@ def exhaustive_allow(edges: DataFrame, config: Config) -> DataFrame:
     return full.join(seen, "ord", "left_semi").select("ord")
 
 
+def _written(p: Predicate) -> str:
+    return p.glob if p.glob is not None else "tags " + ", ".join(p.tags)
+
+
+def guard_gaps(files: DataFrame, config: Config) -> DataFrame:
+    """(kind, ord, gap) of guarded rules that could not fire on these files, and why: a guard may have
+    found nothing yet, but its source must name a file, and its target a file or an assignable tag
+    (packages are left to it: banning what nobody installed is what a guard is for)."""
+    spark = files.sparkSession
+    assigned = {t for c in config.classify for t in c.tags} | {f"{config.directory_namespace}:{n}" for n in config.directory_names if config.directory_namespace}
+    spaces = {t.split(":", 1)[0] for t in assigned}
+    gaps: list[tuple[str, int, str]] = []
+    tests: list[tuple[str, int, str, Column]] = []  # of which the first that no file passes is the gap
+    path, tags = F.col("path"), F.col("tags")
+    for i, r in enumerate(config.allow_deny):
+        if not r.guard:
+            continue
+        tests.append(("tag-boundary", i, f"its source {r.source} tags no file", F.array_contains(tags, r.source)))
+        if r.namespace == "pkg":
+            continue
+        typo = next((v for v in r.deny or () if f"{r.namespace}:{v}" not in assigned), None)
+        if r.namespace not in spaces:
+            gaps.append(("tag-boundary", i, f"its namespace {r.namespace} is neither pkg nor one that files have"))
+        elif typo is not None:
+            gaps.append(("tag-boundary", i, f"no file can have its value {r.namespace}:{typo}"))
+    for i, r in enumerate(config.point):
+        if not r.guard:
+            continue
+        tests.append(("point-rule", i, f"its origin {_written(r.origin)} matches no file", matches(r.origin, path, tags)))
+        if r.target.glob is not None:
+            tests.append(("point-rule", i, f"its target {r.target.glob} matches no file", matches(r.target, path, tags)))
+        elif typo := next((t for t in r.target.tags if not t.startswith("pkg:") and t not in assigned), None):
+            gaps.append(("point-rule", i, f"no file can have its tag {typo}"))
+    if tests:
+        seen = files.agg(*(F.coalesce(F.bool_or(c), F.lit(False)).alias(f"t{k}") for k, (*_, c) in enumerate(tests))).first()  # one row
+        gaps = [(kind, i, text) for k, (kind, i, text, _) in enumerate(tests) if not seen[k]] + gaps
+    first: dict[tuple[str, int], str] = {}
+    for kind, i, text in gaps:
+        first.setdefault((kind, i), text)
+    return spark.createDataFrame([(*k, v) for k, v in first.items()], "kind string, ord int, gap string")
+
+
 def empty_rules(edges: DataFrame, files: DataFrame, config: Config) -> DataFrame:
     """(what, name, reason) of everything declared that nothing matches."""
     spark = files.sparkSession
     cover = coverage(edges, config)
     guarded = [("tag-boundary", i) for i, r in enumerate(config.allow_deny) if r.guard] + [("point-rule", i) for i, r in enumerate(config.point) if r.guard]
-    guards = spark.createDataFrame(guarded, "kind string, ord int")
-    idle = cover.where("evaluated = 0").join(guards, ["kind", "ord"], "left_anti").select(F.lit("rule").alias("what"), F.concat_ws("#", "kind", "ord").alias("name"), F.lit("no edge evaluated").alias("reason"))
+    idle = cover.where("evaluated = 0")
+    if guarded:
+        gaps = spark.createDataFrame(guarded, "kind string, ord int").join(guard_gaps(files, config), ["kind", "ord"], "left")
+        idle = idle.join(gaps.where("gap is null").select("kind", "ord"), ["kind", "ord"], "left_anti").join(gaps.where("gap is not null"), ["kind", "ord"], "left")
+        reason = F.coalesce(F.concat(F.lit("guards nothing: "), F.col("gap")), F.lit("no edge evaluated"))
+    else:
+        reason = F.lit("no edge evaluated")
+    idle = idle.select(F.lit("rule").alias("what"), F.concat_ws("#", "kind", "ord").alias("name"), reason.alias("reason"))
     parts = [idle]
     globs = [("visibility", m.name, m.visibility, None) for m in config.modules if m.visibility is not None]
     globs += [(kind, m.name, g, m.name if kind == "friend-file" else None) for m in config.modules for f in m.friends for kind, g in (("friend-file", f.file), ("friend-from", f.origin))]
@@ -225,7 +273,7 @@ def type_leaks(refs: DataFrame, public_names: DataFrame, most_names: int = 10) -
     public_names: file, name."""
     boundary = F.array_contains(F.split("internal_file", "/"), "node_modules")
     hidden = refs.where(~boundary).join(public_names.selectExpr("file as internal_file", "name as internal_type"), ["internal_file", "internal_type"], "left_anti")
-    hidden = hidden.where("internal_file <> surface_file").dropDuplicates(["module", "internal_file", "internal_type", "exported_as", "surface_file"])
+    hidden = hidden.where("internal_file <> surface_file")
     out = hidden.groupBy("module", "internal_file", "internal_type").agg(F.min(F.struct("surface_file", "line", "col")).alias("at"), F.array_sort(F.collect_set("exported_as")).alias("names"))
     return out.select("module", "internal_file", "internal_type", F.col("at.surface_file").alias("path"), "at.line", "at.col", F.size("names").cast("long").alias("n_names"), F.array_join(F.slice("names", 1, most_names), ", ").alias("shown"))
 

@@ -11,6 +11,7 @@ from ..errors import ReportError
 from ..operators import cycles, ledger, rules
 from ..operators.edges import with_membership
 from ..operators.membership import assert_unambiguous, files_with_membership
+from ..session import tuned
 from ..sources.config import Config
 
 RULES = ["public-surface-bypass", "cycle", "uncovered-module", "empty-rule-set", "exhaustive-allow-list", "deprecated-edge-increased", "type-leak", "tag-boundary", "tag-order", "point-rule", "must-be-empty", "stale-todo", "clean-module-has-todo", "stale-cycle-exception"]
@@ -22,37 +23,79 @@ class Result:
     findings: DataFrame
     coverage: DataFrame
     suggestions: DataFrame
-
-
-def _finding(df: DataFrame, rule: str, path: Column, evidence: Column, module: Column | None = None) -> DataFrame:
-    none = F.lit(None).cast("string")
-    return df.select(F.lit(rule).alias("rule"), path.cast("string").alias("path"), F.lit(0).cast("long").alias("line"), F.lit(0).cast("long").alias("col"), evidence.alias("evidence"), (module if module is not None else none).alias("todo_module"), none.alias("specifier"), none.alias("target"))
-
-
-def run_rules(edges: DataFrame, files: DataFrame, config: Config) -> Result:
+    evaluated: list[str]
+
+
+def _finding(df: DataFrame, rule: str, path: Column, evidence: Column, module: Column | None = None, line: Column | None = None, col: Column | None = None, specifier: Column | None = None, target: Column | None = None) -> DataFrame:
+    none, zero = F.lit(None).cast("string"), F.lit(0)
+    given = lambda c, other: c if c is not None else other
+    return df.select(
+        F.lit(rule).alias("rule"),
+        path.cast("string").alias("path"),
+        given(line, zero).cast("long").alias("line"),
+        given(col, zero).cast("long").alias("col"),
+        evidence.alias("evidence"),
+        given(module, none).alias("todo_module"),
+        given(specifier, none).alias("specifier"),
+        given(target, none).alias("target"),
+    )
+
+
+def run_rules(
+    edges: DataFrame,
+    files: DataFrame,
+    config: Config,
+    *,
+    ledger_entries: DataFrame | None = None,
+    live: DataFrame | None = None,
+    references: DataFrame | None = None,
+    public_names: DataFrame | None = None,
+) -> Result:
     """The bag union of all rules (nothing is deduplicated) over edges (from_file, resolved_file,
-    external_package, specifier, line, col, is_type_only, is_dynamic) and files (path)."""
+    external_package, specifier, line, col, is_type_only, is_dynamic) and files (path).
+
+    Type leaks need `references` and `public_names` (see rules.type_leaks); the ledger rules need
+    `ledger_entries`, held against `live` findings (by default those of this run). Rules whose input
+    is not given are not in `Result.evaluated`, so no findings of theirs do not mean that all is well."""
+    tuned(edges.sparkSession)
     assert_unambiguous(files, config)
-    e, f = with_membership(edges, config), files_with_membership(files, config)
+    # every rule reads them: classified once, and again where an executor is lost
+    e, f = with_membership(edges, config).persist(), files_with_membership(files, config).persist()
     rules.assert_sequences_complete(e, config)
     place = {"line": F.col("line").cast("long"), "col": F.col("col").cast("long")}
     parts = [
         rules.surface_bypass(e, config).withColumns(place),
         rules.edge_findings(e, config).withColumns(place),
-        _finding(cycles.cycle_findings(e, config.ignored_cycles), "cycle", F.col("anchor"), F.col("evidence"), F.col("anchor")),
+        _finding(cycles.cycle_findings(e, config.ignored_cycles), "cycle", F.col("path"), F.col("evidence"), F.col("anchor"), F.col("line"), F.col("col")),
         _finding(rules.uncovered(f), "uncovered-module", F.col("path"), F.lit("belongs to no module")),
         _finding(rules.must_be_empty(f, config), "must-be-empty", F.col("path"), F.concat(F.lit("nothing may match "), F.col("glob"))),
         _finding(rules.empty_rules(e, f, config), "empty-rule-set", F.lit("config"), F.concat_ws(" ", "what", "name", "reason")),
         _finding(rules.exhaustive_allow(e, config), "exhaustive-allow-list", F.lit("config"), F.concat(F.lit("allows everything: rule "), F.col("ord").cast("string"))),
     ]
+    left_out = {"stale-todo", "clean-module-has-todo", "type-leak"}
     gone = rules.deprecated_edges(e, config)
     parts.append(_finding(gone.where("verdict = 'increased'"), "deprecated-edge-increased", F.concat_ws("->", "from_module", "to_module"), F.concat(F.col("allowed").cast("string"), F.lit(" to "), F.col("n").cast("string"))))
     if config.ignored_cycles:
         parts.append(_finding(cycles.stale_exceptions(e, config.ignored_cycles), "stale-cycle-exception", F.lit("config"), F.concat_ws(" <-> ", "a", "b")))
+    if references is not None and public_names is not None:
+        left_out.discard("type-leak")
+        leaks = rules.type_leaks(references, public_names)
+        text = F.concat("internal_type", F.lit(" of "), "internal_file", F.lit(" is not public - referenced by "), "shown")
+        parts.append(_finding(leaks, "type-leak", F.col("path"), text, F.col("module"), F.col("line"), F.col("col"), target=F.col("internal_file")))
+    if ledger_entries is not None:
+        left_out -= {"stale-todo", "clean-module-has-todo"}
+        old = ledger.stale(ledger_entries, live if live is not None else union(parts), config.strict)
+        parts.append(_finding(old, "stale-todo", F.col("path"), F.concat(F.lit("the ledger entry "), "fp", F.lit(" of "), "todo_module", F.lit(" matches nothing any more"))))
+        strict = ledger.strict_with_entries(ledger_entries, config.strict)
+        parts.append(_finding(strict, "clean-module-has-todo", F.lit("ledger"), F.concat(F.col("entries").cast("string"), F.lit(" ledger entries of a strict module")), F.col("todo_module")))
+    return Result(union(parts), rules.coverage(e, config), gone.where("verdict = 'decreased'"), [r for r in RULES if r not in left_out])
+
+
+def union(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return Result(out, rules.coverage(e, config), gone.where("verdict = 'decreased'"))
+    return out
 
 
 def filtered(findings: DataFrame, path: str | None = None, only_rules: list[str] = (), modules: list[str] = (), known_modules: list[str] = ()) -> DataFrame:

@@ -12,8 +12,8 @@ from ..operators.mining import candidate_modules
 from ..sources.config import Config
 from ..sources.files import present
 
-NOISE = ["**/dist/**", "**/build/**", "**/coverage/**", "**/vendor/**", "**/generated/**", "**/storybook-static/**"]
-TESTS = ["**/*.test.ts", "**/*.spec.ts", "**/__tests__/**", "**/*.test.tsx", "**/e2e/**", "**/fixtures/**"]
+NOISE = [f"{d}/**" for d in ("build", "coverage", "e2e", "example", "examples", "fixtures", "spike", "test", "tests", "tmp")]
+TESTS = [f"**/*.{kind}.{end}" for kind in ("test", "spec") for end in ("ts", "tsx", "mts", "cts")] + ["**/__tests__/**"]
 
 
 def normalised_directory(arg: str) -> str:

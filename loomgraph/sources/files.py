@@ -13,8 +13,10 @@ from ..functions.globs import any_match, compile_glob
 
 SOURCE = r"\.(ts|tsx|mts|cts)$"
 DECLARATION = r"\.d\.([^/]*\.)?(ts|mts|cts)$"
-BUILTINS = ["assert", "buffer", "child_process", "cluster", "crypto", "dns", "events", "fs", "http", "http2", "https", "net", "os", "path", "process", "querystring", "readline", "stream", "string_decoder", "timers", "tls", "tty", "url", "util", "v8", "vm", "worker_threads", "zlib"]
-SCHEME_ONLY = ["node:test", "node:sqlite", "node:sea"]
+BUILTINS = "assert async_hooks buffer child_process cluster console constants crypto dgram diagnostics_channel dns domain events fs http http2 https inspector module net os path perf_hooks process punycode querystring readline repl stream string_decoder sys timers tls trace_events tty url util v8 vm wasi worker_threads zlib".split()
+BUILTINS += "assert/strict dns/promises fs/promises inspector/promises path/posix path/win32 readline/promises stream/consumers stream/promises stream/web timers/promises util/types".split()
+#: Builtins that only a specifier with the scheme names.
+SCHEME_ONLY = [f"node:{n}" for n in ("ffi", "sea", "sqlite", "test", "test/reporters")]
 
 
 def list_tree(spark: SparkSession, root: str) -> DataFrame:
@@ -105,10 +107,9 @@ def extract_imports(sources: DataFrame) -> DataFrame:
 
 
 def builtin_module(specifier: Column) -> Column:
-    """The builtin a specifier names, with or without scheme, else null."""
+    """The builtin a specifier names, without its scheme, else null."""
     bare = F.regexp_replace(specifier, "^node:", "")
-    top = F.split_part(bare, F.lit("/"), F.lit(1))
-    return F.when(specifier.isin(*SCHEME_ONLY), specifier).when(top.isin(*BUILTINS), bare)
+    return F.when(specifier.isin(*SCHEME_ONLY) | bare.isin(*BUILTINS), bare)
 
 
 def is_workspace_sibling(resolved: Column, root: str) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,9 +30,12 @@ def write_snapshot(rows: DataFrame, folder: str, dirty: list[int] | None = None)
 
 def read_snapshot(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     """The stored rows; a missing folder is an empty table, not an error."""
-    if not os.path.isdir(folder.removeprefix("file://")):
+    try:
+        return spark.read.schema(schema + ", bucket int").parquet(folder)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema + ", bucket int").parquet(folder)
 
 
 def write_ledger(entries: DataFrame, path: str) -> None:

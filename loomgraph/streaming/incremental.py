@@ -15,6 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.edges import with_membership
 from ..operators.rules import edge_findings, surface_bypass
 from ..sources.config import Config
+from ..session import checkpointed
 from ..sources.store import bucket, write_snapshot
 
 
@@ -39,20 +40,29 @@ def snapshot_changes(old: DataFrame, new: DataFrame, fingerprint: list[str]) ->
 
 def keep_snapshot(changes: DataFrame, folder: str, checkpoint: str, refreshed: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
     """Apply a stream of changed rows (path, ...) to a bucketed snapshot: each micro-batch rewrites
-    only the buckets it touches, and a repeated batch writes the same rows again."""
+    only the buckets it touches, and a repeated batch writes the same rows again. Of several rows of
+    one path the one of the greatest `version` counts (without that column the greatest row), and a
+    row whose `removed` is true takes its path out of the snapshot; neither column is stored."""
 
     def apply(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        rows = batch.dropDuplicates(["path"])
+        stored = [c for c in batch.columns if c not in ("version", "removed")]
+        order = F.struct(*(c for c in ("version", *stored) if c in batch.columns))
+        gone = F.coalesce(F.col("removed"), F.lit(False)) if "removed" in batch.columns else F.lit(False)
+        rows = batch.groupBy("path").agg(F.max_by(F.struct(*(c for c in stored if c != "path"), gone.alias("_gone")), order).alias("row")).select("path", "row.*")
         dirty = [r.b for r in rows.select(bucket(F.col("path")).alias("b")).distinct().collect()]  # at most 64
         if dirty:
             try:
                 old = spark.read.parquet(folder).where(F.col("bucket").isin(*dirty)).drop("bucket")
-                rows = old.join(rows.select("path"), "path", "left_anti").unionByName(rows)
+                rows = old.join(rows.select("path"), "path", "left_anti").withColumn("_gone", F.lit(False)).unionByName(rows)
             except Exception as e:
                 if "PATH_NOT_FOUND" not in str(e):
                     raise
-            write_snapshot(rows.checkpoint(), folder)
+            emptied = set(dirty) - {r.b for r in rows.where("not _gone").select(bucket(F.col("path")).alias("b")).distinct().collect()}
+            write_snapshot(checkpointed(rows.where("not _gone").drop("_gone")), folder)
+            for b in emptied:  # nothing is written for them, so what they held would stay
+                shard = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/bucket={b}")
+                shard.getFileSystem(spark._jsc.hadoopConfiguration()).delete(shard, True)
         if refreshed is not None:
             refreshed(batch, number)
 

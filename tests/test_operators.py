@@ -113,7 +113,7 @@ def test_check(spark, small):
     config, raw, files = small
     result = check.run_rules(raw, files, config)
     got = sorted((r.rule, r.path, r.line) for r in result.findings.collect())
-    want = [("cycle", "a", 0), ("public-surface-bypass", "src/a/x.ts", 2), ("public-surface-bypass", "src/a/x.ts", 2), ("public-surface-bypass", "src/b/y.ts", 5), ("tag-order", "src/a/x.ts", 1), ("tag-order", "src/a/x.ts", 2), ("tag-order", "src/a/x.ts", 2), ("uncovered-module", "other.ts", 0)]
+    want = [("cycle", "src/a/x.ts", 1), ("public-surface-bypass", "src/a/x.ts", 2), ("public-surface-bypass", "src/a/x.ts", 2), ("public-surface-bypass", "src/b/y.ts", 5), ("tag-order", "src/a/x.ts", 1), ("tag-order", "src/a/x.ts", 2), ("tag-order", "src/a/x.ts", 2), ("uncovered-module", "other.ts", 0)]
     assert got == sorted(want)
     assert [r.evaluated for r in result.coverage.collect()] == [5]
     assert check.filtered(result.findings, path="src/b").count() == 1
@@ -165,6 +165,7 @@ def test_sources(spark, tmp_path):
     got = {(r.specifier, r.is_type_only, r.is_dynamic, r.n_require) for r in S.extract_imports(text).collect()}
     assert got == {("./b", True, False, 1), ("./c", False, False, 1), ("d", False, True, 1)}
     assert one(spark, S.builtin_module(F.col("p")), p="node:fs/promises") == "fs/promises" and one(spark, S.builtin_module(F.col("p")), p="left") is None
+    assert one(spark, S.builtin_module(F.col("p")), p="node:test") == "test" and one(spark, S.builtin_module(F.col("p")), p="test") is None and one(spark, S.builtin_module(F.col("p")), p="fs/anything") is None
     files = spark.createDataFrame([("src/index.ts",), ("src/x.ts",)], "path string")
     assert S.surface_from_exports(spark, '{"exports": {".": {"import": "./dist/index.js"}}}', files).count() == 1
     assert S.surface_from_exports(spark, '{"exports": {".": "./dist/index.js", "./y": "./dist/y.js"}}', files).count() == 0
@@ -211,14 +212,68 @@ def test_history_and_mining(spark):
     assert {r.path: r.anchor for r in mining.nearest_anchor(paths, anchors).collect()} == {"src/a/x.ts": "src/a", "src/a/b/y.ts": "src/a", "top.ts": ""}
 
 
-def test_layers_of_too_many_pairs_are_an_error(spark, monkeypatch):
-    rows = [("a", "b", 1), ("b", "c", 1), ("c", "d", 1)]
-    pairs = spark.createDataFrame(rows, "from_module string, to_module string, n long").withColumn("back", F.lit(0))
-    monkeypatch.setattr(mining, "majority_pairs", lambda edges: pairs)
-    assert mining.layered_order(pairs).count() == 4
-    monkeypatch.setattr(mining, "SMALL", 2)
-    with pytest.raises(ReportError):
-        mining.layered_order(pairs)
+def test_layers_beyond_the_driver(spark, monkeypatch):
+    """Layers found round by round equal those found on the driver, and a cycle gives none."""
+    rng = random.Random(4)
+    rows = {(f"n{a:02}", f"n{b:02}"): rng.randint(1, 5) for _ in range(80) for a, b in [sorted(rng.sample(range(30), 2))]}
+    table = lambda r: spark.createDataFrame([(*k, n) for k, n in r.items()], "from_module string, to_module string, n long").withColumn("back", F.lit(1))
+    for cyclic in (False, True):
+        pairs = table(rows | ({("n29", "n00"): 1, ("n00", "n29"): 1} if cyclic else {}))
+        monkeypatch.setattr(mining, "majority_pairs", lambda edges, pairs=pairs: pairs)
+        near, far = ({(r.name, r.level, round(r.support, 9)) for r in mining.layered_order(pairs, small).collect()} for small in (10**6, 5))
+        assert near == far and bool(near) != cyclic
+
+
+def test_components_beyond_the_driver(spark):
+    rng = random.Random(6)
+    rows = [(f"n{rng.randrange(25):02}", f"n{rng.randrange(25):02}", False) for _ in range(32)]
+    e = spark.createDataFrame([r for r in rows if r[0] != r[1]], "from_module string, to_module string, is_type_only boolean")
+    near, far = ({(r.module, r.anchor, r["size"]) for r in cycles.components(e, small).collect()} for small in (10**6, 3))
+    assert near == far and near
+
+
+def test_cycle_findings_have_a_place(spark):
+    rows = [("b", "c", "src/b/2.ts", 4, 1, False), ("b", "c", "src/b/1.ts", 9, 2, False), ("b", "c", "src/b/0.ts", 1, 1, True), ("c", "b", "src/c/1.ts", 3, 3, False), ("x", "y", "src/x/1.ts", 1, 1, False), ("y", "x", "src/y/1.ts", 1, 1, False)]
+    e = spark.createDataFrame(rows, "from_module string, to_module string, from_file string, line long, col long, is_type_only boolean")
+    got = [tuple(r) for r in cycles.cycle_findings(e, (("y", "x"),)).select("anchor", "size", "evidence", "path", "line", "col").collect()]
+    assert got == [("b", 2, "b -> c -> b", "src/b/1.ts", 9, 2)]
+    assert cycles.cycle_findings(e.limit(0)).count() == 0
+
+
+def test_guards_that_guard_nothing(spark):
+    rule = lambda **k: {"from": "a:x", "targetNamespace": "a", "deny": ["y"], "guard": True} | k
+    config = load_config(
+        {
+            "modules": {"m": {"glob": "src/m/**"}, "n": {"glob": "src/n/**"}},
+            "classify": [{"glob": "src/m/**", "tags": ["a:x"]}, {"glob": "src/n/**", "tags": ["a:y"]}],
+            "edges": {
+                "allowDeny": [rule(), rule(**{"from": "a:z"}), rule(deny=["w"]), rule(targetNamespace="pkg", deny=["anything"]), rule(targetNamespace="b", deny=["y"])],
+                "point": [{"from": "src/m/**", "to": "src/n/**", "guard": True}, {"from": "src/q/**", "to": "src/n/**", "guard": True}, {"from": "src/m/**", "to": "src/q/**", "guard": True}, {"from": "src/m/**", "to": {"tags": ["a:q"]}, "guard": True}],
+            },
+        }
+    )
+    files = membership.files_with_membership(spark.createDataFrame([("src/m/1.ts",), ("src/n/1.ts",)], "path string"), config)
+    got = {(r.kind, r.ord): r.gap for r in rules.guard_gaps(files, config).collect()}
+    assert set(got) == {("tag-boundary", 1), ("tag-boundary", 2), ("tag-boundary", 4), ("point-rule", 1), ("point-rule", 2), ("point-rule", 3)}
+    edge = "from_file string, resolved_file string, external_package string, specifier string, line int, col int, is_type_only boolean, is_dynamic boolean"
+    e = edges.with_membership(spark.createDataFrame([], edge), config)
+    found = {r.name: r.reason for r in rules.empty_rules(e, files, config).where("what = 'rule'").collect()}
+    assert set(found) == {f"{k}#{i}" for k, i in got} and all(v.startswith("guards nothing") for v in found.values())
+
+
+def test_snapshot_takes_the_last_version_and_removals(spark, tmp_path):
+    from loomgraph.streaming.incremental import keep_snapshot
+
+    schema = "path string, line int, version long, removed boolean"
+
+    def send(name, rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / name))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / name))
+        keep_snapshot(stream, str(tmp_path / "snap"), str(tmp_path / f"state-{name}")).awaitTermination()
+        return {(r.path, r.line) for r in store.read_snapshot(spark, str(tmp_path / "snap"), "path string, line int").collect()}
+
+    assert send("one", [("a", 1, 1, False), ("a", 2, 3, False), ("a", 3, 2, None), ("b", 1, 1, False)]) == {("a", 2), ("b", 1)}
+    assert send("two", [("b", 9, 2, True), ("c", 5, 1, False)]) == {("a", 2), ("c", 5)}
 
 
 def test_moves(spark, small):
