@@ -15,6 +15,7 @@ from .functions import expressions as X
 from .operators import cycles, diagram, edges, history, ledger, membership, mining, rules, search
 from .sources import files as S
 from .sources.config import Config, load_config
+from .session import tuned
 from .sources.store import bucket
 
 REGIONS = ["africa", "america", "asia", "europe", "middle_east"]
@@ -76,6 +77,7 @@ ORACLES: dict[str, str] = {}
 
 
 def _sql(spark: SparkSession, sf: str, text: str) -> DataFrame:
+    tuned(spark)
     used = [t for t in _TABLES if f"{{{t}}}" in text]
     return spark.sql(text, **{t: spark.read.parquet(f"{sf}/{t}.parquet") for t in used})
 
@@ -245,48 +247,65 @@ def must_be_empty(spark, sf):
     return rules.must_be_empty(tree(spark, sf), CONFIG)
 
 
-@query("type_leaks", """, refs as (select from_module as module, from_file as surface_file, specifier as exported_as, resolved_file as internal_file, concat('T', (line % 3)::varchar) as internal_type, line, col from x where col % 7 = 0),
+@query("type_leaks", """, refs as (select from_module as module, from_file as surface_file, specifier as exported_as, resolved_file as internal_file, concat('T', (line % 3)::varchar) as internal_type, line, col from x),
 h as (select * from refs where not (regexp_matches(internal_file, '/s[0-9]*[05]\\.ts$') and internal_type = 'T1')),
 g as (select module, internal_file, internal_type, min((surface_file, line, col)) as w, list_sort(list(distinct exported_as)) as names from h group by 1, 2, 3)
 select module, internal_file, internal_type, w[1] as path, w[2] as line, w[3] as col, len(names)::bigint as n_names, array_to_string(names[1:10], ', ') as shown from g""")
 def type_leaks(spark, sf):
+    return rules.type_leaks(*_references(spark, sf))
+
+
+def _references(spark, sf):
+    """Cross-module statements as references from a surface to a type, and public type names."""
     e = edges.cross_module(graph(spark, sf))
-    refs = e.where("col % 7 = 0").select(F.col("from_module").alias("module"), F.col("from_file").alias("surface_file"), F.col("specifier").alias("exported_as"), F.col("resolved_file").alias("internal_file"), F.concat(F.lit("T"), (F.col("line") % 3).cast("string")).alias("internal_type"), "line", "col")
+    refs = e.select(F.col("from_module").alias("module"), F.col("from_file").alias("surface_file"), F.col("specifier").alias("exported_as"), F.col("resolved_file").alias("internal_file"), F.concat(F.lit("T"), (F.col("line") % 3).cast("string")).alias("internal_type"), "line", "col")
     public = e.where("to_surface").select(F.col("resolved_file").alias("file"), F.lit("T1").alias("name")).distinct()
-    return rules.type_leaks(refs, public)
+    return refs, public
 
 
 # -- cycles ------------------------------------------------------------------------------------
-def _sparse(spark, sf):
-    """A part of the graph with several components."""
-    e = graph(spark, sf).where("external_package is null and split_part(from_file, '/', 2) = split_part(resolved_file, '/', 2)")
-    return e.where("col % 1000 < 12")
+#: Every line item as an import between the modules of one of forty groups: rings of four, chains, and
+#: pairs of which one direction is rare.
+_MODULES = """select concat('src/', f, '/', cast(i as varchar(20)), '.ts') as from_file, concat('src/', t, '/', cast(j as varchar(20)), '.ts') as resolved_file, f as from_module, t as to_module, line, col, is_type_only, is_dynamic
+from (select concat('m', cast(g as varchar(20)), '_', cast(case when g % 3 = 2 then rare else k end as varchar(20))) as f, concat('m', cast(g as varchar(20)), '_', cast(case g % 3 when 2 then 1 - rare when 0 then (k + 1) % 4 else k + 1 end as varchar(20))) as t, i, j, line, col, is_type_only, is_dynamic
+from (select l_orderkey % 40 as g, l_linenumber % 4 as k, case when l_orderkey < 150 and l_linenumber = 1 then 1 else 0 end as rare, l_partkey as i, l_suppkey as j, cast(l_linenumber as bigint) as line, l_orderkey as col, l_returnflag = 'R' as is_type_only, l_linestatus = 'F' as is_dynamic from {lineitem}) a) b"""
+_IGNORED = (("m0_0", "m0_2"), ("m1_0", "m1_1"), ("m2_0", "m2_1"))
+
 
+def modular(spark, sf):
+    return _sql(spark, sf, _MODULES)
 
-_CYCLE = """, p as (select from_module, to_module, count(*) as n from x where not is_type_only and external_package is null and fr = tr and col % 1000 < 12 group by 1, 2),
+
+_RING = f"with m as ({plain(_MODULES)}), x as (select * from m where from_module <> to_module), "
+_CYCLE = _RING + """p as (select from_module, to_module, count(*) as n from x where not is_type_only group by 1, 2),
 t as (with recursive c(a, b) as (select from_module, to_module from p union select c.a, p.to_module from c join p on c.b = p.from_module) select * from c),
-s as (select t.a as module, min(u.b) as anchor from t join t u on t.a = u.a join t w on w.a = u.b and w.b = t.a where t.a = t.b group by 1)
+s as (select t.a as module, min(u.b) as anchor from t join t u on t.a = u.a join t w on w.a = u.b and w.b = t.a where t.a = t.b group by 1),
+i as (select unnest(['m0_0', 'm1_0', 'm2_0']) as a, unnest(['m0_2', 'm1_1', 'm2_1']) as b)
 """
 
 
-@query("cycle_components", _CYCLE + "select module, anchor, count(*) over (partition by anchor) as size from s")
+@query("cycle_components", _CYCLE + "select module, anchor, count(*) over (partition by anchor) as size from s", whole=True)
 def cycle_components(spark, sf):
-    return cycles.components(_sparse(spark, sf))
+    return cycles.components(modular(spark, sf))
 
 
-@query("cycle_findings")
+@query("cycle_findings", _CYCLE + """, q as (with recursive w(a, b, path, k) as (select anchor, to_module, [anchor, to_module], 1 from (select distinct anchor from s) z join p on p.from_module = anchor
+  union all select w.a, p.to_module, list_append(path, p.to_module), k + 1 from w join p on p.from_module = w.b where w.b <> w.a and k < 4) select a, min((k, path)) as best from w where b = a group by a),
+h as (select from_module, to_module, min((from_file, line, col)) as spot from x where not is_type_only group by 1, 2)
+select q.a as anchor, (select count(*) from s where s.anchor = q.a)::int as size, array_to_string(best[2], ' -> ') as evidence, spot[1] as path, spot[2] as line, spot[3] as col from q join h on h.from_module = best[2][1] and h.to_module = best[2][2]
+where not exists (select 1 from i join s s1 on s1.module = i.a join s s2 on s2.module = i.b where s1.anchor = q.a and s2.anchor = q.a)""", whole=True)
 def cycle_findings(spark, sf):
-    return cycles.cycle_findings(_sparse(spark, sf), CONFIG.ignored_cycles)
+    return cycles.cycle_findings(modular(spark, sf), _IGNORED)
 
 
-@query("lopsided_pairs", _CYCLE + "select p.from_module, p.to_module, p.n as minority, q.n as majority from p join p q on p.from_module = q.to_module and p.to_module = q.from_module where p.n <= 3 and q.n >= 3 * p.n")
+@query("lopsided_pairs", _CYCLE + "select p.from_module, p.to_module, p.n as minority, q.n as majority from p join p q on p.from_module = q.to_module and p.to_module = q.from_module where p.n <= 3 and q.n >= 3 * p.n", whole=True)
 def lopsided_pairs(spark, sf):
-    return cycles.lopsided_pairs(_sparse(spark, sf))
+    return cycles.lopsided_pairs(modular(spark, sf))
 
 
-@query("stale_cycle_exceptions", _CYCLE + ", i as (select unnest(['nation_0','nation_0']) as a, unnest(['nation_5','nation_1']) as b) select a, b from i where not exists (select 1 from s s1 join s s2 on s1.anchor = s2.anchor where s1.module = i.a and s2.module = i.b)")
+@query("stale_cycle_exceptions", _CYCLE + "select a, b from i where not exists (select 1 from s s1 join s s2 on s1.anchor = s2.anchor where s1.module = i.a and s2.module = i.b)", whole=True)
 def stale_cycle_exceptions(spark, sf):
-    return cycles.stale_exceptions(_sparse(spark, sf), CONFIG.ignored_cycles)
+    return cycles.stale_exceptions(modular(spark, sf), _IGNORED)
 
 
 # -- ledger ------------------------------------------------------------------------------------
@@ -379,21 +398,25 @@ def covering_prefix(spark, sf):
     return mining.covering_prefix(graph(spark, sf))
 
 
-@query("leaf_kernels", "select to_module as name, cast(1.0 as double) as support, count(*) as weight from x where fr = 'asia' and tr <> 'asia' group by 1")
+@query("leaf_kernels", _RING + "i as (select to_module as name, count(*) as weight from x group by 1) select name, cast(1.0 as double) as support, weight from i where not exists (select 1 from x where from_module = name)", whole=True)
 def leaf_kernels(spark, sf):
-    e = graph(spark, sf).where("split_part(from_file, '/', 2) = 'asia' and split_part(resolved_file, '/', 2) <> 'asia'")
-    return mining.leaf_kernels(e).withColumn("support", F.col("support").cast("double"))
+    return mining.leaf_kernels(modular(spark, sf)).withColumn("support", F.col("support").cast("double"))
+
 
+#: Every line item as an import from one of nine layers to a later one; lines six and seven go back.
+_LAYERS = """select case when line < 6 then lo else hi end as from_module, case when line < 6 then hi else lo end as to_module from (select concat('l', cast(l_partkey % 6 as varchar(20))) as lo, concat('l', cast(l_partkey % 6 + 1 + l_suppkey % 3 as varchar(20))) as hi, l_linenumber as line from {lineitem}) a"""
 
-@query("layered_order", """, q as (select distinct from_module, to_module from x where from_module < to_module), t as (with recursive d(m, k) as (select distinct from_module, 0 from q union select q.to_module, d.k + 1 from d join q on d.m = q.from_module where d.k < 30) select m, max(k) as k from d group by 1)
-select m as name, k::int as level, cast(1.0 as double) as support from t where k <= 24""")
+
+@query("layered_order", f"""with x as ({plain(_LAYERS)}), n as (select from_module, to_module, count(*) as n from x group by 1, 2), q as (select a.*, coalesce(b.n, 0) as back from n a left join n b on a.from_module = b.to_module and a.to_module = b.from_module where a.n > coalesce(b.n, 0)),
+t as (with recursive d(m, k) as (select distinct from_module, 0 from q union select q.to_module, d.k + 1 from d join q on d.m = q.from_module where d.k < 30) select m, max(k) as k from d group by 1)
+select m as name, k::int as level, (select sum(n) / sum(n + back) from q)::double as support from t where not exists (select 1 from t where k > 20)""", whole=True)
 def layered_order(spark, sf):
-    return mining.layered_order(graph(spark, sf).where("from_module < to_module"))
+    return mining.layered_order(_sql(spark, sf, _LAYERS))
 
 
-@query("confined_packages", ", u as (select specifier as p, from_module as m, count(*) as n from e where resolved_file is null and from_module is not null and col % 400 = 1 group by 1, 2) select p as external_package, min(m) as module, sum(n)::bigint as n from u group by 1 having count(*) = 1 order by 3 desc, 1 limit 3")
+@query("confined_packages", ", u as (select concat(specifier, '#', col % 100) as p, from_module as m, count(*) as n from e where resolved_file is null and from_module is not null group by 1, 2) select p as external_package, min(m) as module, sum(n)::bigint as n from u group by 1 having count(*) = 1 order by 3 desc, 1 limit 3")
 def confined_packages(spark, sf):
-    e = graph(spark, sf).where("resolved_file is null and col % 400 = 1").withColumn("external_package", F.col("specifier"))
+    e = graph(spark, sf).where("resolved_file is null").withColumn("external_package", F.concat("specifier", F.lit("#"), (F.col("col") % 100).cast("string")))
     return mining.confined_packages(e)
 
 
@@ -491,13 +514,33 @@ def bare_packages(spark, sf):
     return parts.select(X.bare_package(F.replace("p_brand", F.lit("Brand#"), F.lit("@types/scope__b"))).alias("name"), F.col("p_brand").alias("brand"))
 
 
+def _inner(name: str) -> str:
+    """The SQL of another query as a subquery below the shared tables."""
+    text = ORACLES[name].removeprefix(_WITH)
+    return f"(with {text[1:]})" if text.startswith(",") else f"({text})"
+
+
+@query("check", f"""select rule, module, count(*) as n from (
+  select rule, coalesce(todo_module, '<project>') as module from {_inner("surface_bypass")} union all select rule, coalesce(todo_module, '<project>') from {_inner("edge_rules")}
+  union all select 'uncovered-module', '<project>' from {_inner("uncovered_files")} union all select 'must-be-empty', '<project>' from {_inner("must_be_empty")}
+  union all select 'empty-rule-set', '<project>' from {_inner("empty_rules")} union all select 'exhaustive-allow-list', '<project>' from {_inner("exhaustive_allow")}
+  union all select 'deprecated-edge-increased', '<project>' from {_inner("deprecated_edges")} where verdict = 'increased'
+  union all select rule, module from (with p as (select distinct from_module, to_module from x where not is_type_only),
+    t as (with recursive c(a, b) as (select from_module, to_module from p union select c.a, p.to_module from c join p on c.b = p.from_module) select * from c),
+    s as (select t.a as module, min(u.b) as anchor from t join t u on t.a = u.a join t w on w.a = u.b and w.b = t.a where t.a = t.b group by 1),
+    i as (select unnest(['nation_0', 'nation_0']) as a, unnest(['nation_5', 'nation_1']) as b), k as (select s1.anchor, a, b from i join s s1 on s1.module = a join s s2 on s2.module = b and s2.anchor = s1.anchor)
+    select 'cycle' as rule, anchor as module from (select distinct anchor from s) where anchor not in (select anchor from k) union all select 'stale-cycle-exception', '<project>' from i where not exists (select 1 from k where k.a = i.a and k.b = i.b))
+  union all select rule, '<project>' from (select 'stale-todo' as rule from {_inner("ledger_stale")})
+  union all select 'clean-module-has-todo', todo_module from (select 'nation_5' as todo_module)
+  union all select 'type-leak', module from {_inner("type_leaks")}) group by all""")
 def check(spark: SparkSession, sf: str) -> DataFrame:
-    """All rules over the whole graph, as one bag of findings counted by rule and module."""
+    """All rules over the whole graph, a ledger of part of the bypasses and the type references among
+    them, as one bag of findings counted by rule and module."""
     from .plans.check import grouped, run_rules
 
-    files = _sql(spark, sf, FILES)
-    e = raw_edges(spark, sf)
-    return grouped(run_rules(e, files, CONFIG).findings)
-
-
-QUERIES["check"] = check
+    raw = raw_edges(spark, sf)
+    found, known = _frozen(spark, sf)
+    strict = spark.createDataFrame([("nation_5", "public-surface-bypass", "p", "e", None, None, "f")], known.select("todo_module", "rule", "path", "evidence", "specifier", "target", "fp").schema)
+    refs, public = _references(spark, sf)
+    result = run_rules(raw, _sql(spark, sf, FILES), CONFIG, ledger_entries=known.unionByName(strict), live=found.where("col % 5 < 3"), references=refs, public_names=public)
+    return grouped(result.findings)
