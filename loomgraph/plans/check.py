@@ -11,7 +11,6 @@ from ..errors import ReportError
 from ..operators import cycles, ledger, rules
 from ..operators.edges import with_membership
 from ..operators.membership import assert_unambiguous, files_with_membership
-from ..session import tuned
 from ..sources.config import Config
 
 RULES = ["public-surface-bypass", "cycle", "uncovered-module", "empty-rule-set", "exhaustive-allow-list", "deprecated-edge-increased", "type-leak", "tag-boundary", "tag-order", "point-rule", "must-be-empty", "stale-todo", "clean-module-has-todo", "stale-cycle-exception"]
@@ -57,7 +56,6 @@ def run_rules(
     Type leaks need `references` and `public_names` (see rules.type_leaks); the ledger rules need
     `ledger_entries`, held against `live` findings (by default those of this run). Rules whose input
     is not given are not in `Result.evaluated`, so no findings of theirs do not mean that all is well."""
-    tuned(edges.sparkSession)
     assert_unambiguous(files, config)
     # every rule reads them: classified once, and again where an executor is lost
     e, f = with_membership(edges, config).persist(), files_with_membership(files, config).persist()

@@ -15,7 +15,6 @@ from .functions import expressions as X
 from .operators import cycles, diagram, edges, history, ledger, membership, mining, rules, search
 from .sources import files as S
 from .sources.config import Config, load_config
-from .session import tuned
 from .sources.store import bucket
 
 REGIONS = ["africa", "america", "asia", "europe", "middle_east"]
@@ -77,7 +76,6 @@ ORACLES: dict[str, str] = {}
 
 
 def _sql(spark: SparkSession, sf: str, text: str) -> DataFrame:
-    tuned(spark)
     used = [t for t in _TABLES if f"{{{t}}}" in text]
     return spark.sql(text, **{t: spark.read.parquet(f"{sf}/{t}.parquet") for t in used})
 

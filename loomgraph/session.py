@@ -1,22 +1,10 @@
-"""What the library asks of a session: code the JVM compiles, and a folder that executors share."""
+"""What the library asks of a session: a folder that executors share."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
-
-#: The JVM leaves longer methods uncompiled; Spark then splits expressions instead of fusing a stage.
-LONGEST_METHOD = "8000"
-_LIMIT = "spark.sql.codegen.hugeMethodLimit"
-
-
-def tuned(spark: SparkSession) -> SparkSession:
-    """Long chains of conditions (one per glob) outgrow the method size that the JVM compiles."""
-    if spark.conf.get(_LIMIT) == "65535":
-        spark.conf.set(_LIMIT, LONGEST_METHOD)
-    return spark
-
+from pyspark.sql import DataFrame
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """`df` in the shared checkpoint folder. Where the session names none, a local master gets a
