@@ -101,6 +101,13 @@ def _keys(fp: str, half: int) -> str:
     return f"concat(array(struct({value} as key, true as own)), transform(filter(sequence(0, 31), b -> ({value} & shiftleft(1L, b)) = 0), b -> struct({value} | shiftleft(1L, b) as key, false as own)))"
 
 
+def merged(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """A sort-merge join. Tables that grow with the corpus are joined so, as Spark's sizes miss what
+    arrays add when they are exploded and what Parquet saves on disk: it broadcast, through the
+    driver, tables many times its threshold."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def links(distinct: DataFrame, folder: str, apart: int = BITS_APART) -> DataFrame:
     """(a, b): spanning links between distinct fingerprints `fp` within `apart` (at most 3) bits."""
     spark = distinct.sparkSession
@@ -108,7 +115,7 @@ def links(distinct: DataFrame, folder: str, apart: int = BITS_APART) -> DataFram
     rows = halves[0].unionByName(halves[1])
     # a bucket matters if the table has its key and more than one entry meets there
     sizes = rows.groupBy("half", "key").agg(F.count("*").alias("n"), F.max("own").alias("has")).where("n > 1 and has").drop("has")
-    met = saved(rows.join(sizes, ["half", "key"]).drop("own"), folder, "met")
+    met = saved(merged(rows, sizes, ["half", "key"]).drop("own"), folder, "met")
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(_forest(np.unique(pdf.fp.to_numpy(np.int64)), apart), columns=["a", "b"], dtype="int64")
@@ -135,9 +142,9 @@ def components(edges: DataFrame, folder: str) -> DataFrame:
     while True:
         both = now.unionByName(now.selectExpr("v as u", "u as v"))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").selectExpr("v as u", "m as v").where("u <> v").distinct()
+        large = merged(both, low, ["u"]).where("v > u").selectExpr("v as u", "m as v").where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        star = large.join(low, "u")
+        star = merged(large, low, ["u"])
         now = star.where("v <> m").selectExpr("v as u", "m as v").unionByName(low.selectExpr("u", "m as v")).distinct()
         step += 1
         now = saved(now, folder, f"star{step}")
@@ -154,10 +161,10 @@ def classes(docs: DataFrame, width: int = 3, apart: int = BITS_APART) -> DataFra
     prints = saved(fingerprints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), width), folder, "prints")
     distinct = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), folder, "distinct")
     roots = components(links(distinct.select("fp"), folder, apart), folder)
-    named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    named = merged(distinct, roots.withColumnRenamed("node", "fp"), ["fp"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_print = named.join(ids, "root").select("fp", "component_id")
-    return prints.join(by_print, "fp")
+    by_print = merged(named, ids, ["root"]).select("fp", "component_id")
+    return merged(prints, by_print, ["fp"])
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

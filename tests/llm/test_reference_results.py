@@ -251,6 +251,22 @@ def test_simhash_hot_buckets(spark, monkeypatch):
     _check_components([(k, f, roots.get(s, s)) for k, (f, s) in enumerate(zip(fps, signed))], by_least=False)
 
 
+def test_simhash_broadcasts_nothing(spark, monkeypatch):
+    """Exploded keys are many times the size Spark expects of them: no table goes through the driver."""
+    plans, usual = [], simhash.saved
+
+    def spied(df, folder, name):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return usual(df, folder, name)
+
+    monkeypatch.setattr(simhash, "saved", spied)
+    out = simhash.op10_simhash(spark, "/root/testdata/sf0.001")
+    assert out.count() == 200
+    plans.append(("result", out._jdf.queryExecution().executedPlan().toString()))
+    assert {"met", "star1", "result"} <= {name for name, _ in plans}
+    assert not [name for name, plan in plans if "Broadcast" in plan]
+
+
 def _check_components(rows, by_least=True):
     parent = list(range(len(rows)))
 
