@@ -309,19 +309,19 @@ def _alike(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """node and the set of shingle hashes (64-bit each, in order) of every row of `docs` (node, text)."""
+    """set, node and the set of shingle hashes (64-bit each, in order) of every row of `docs` (set, node, text)."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = []
-            for c in chunks(text_array(batch.column(1))):
+            for c in chunks(text_array(batch.column(2))):
                 g, t = _shingles(Chunk(c.lo, np.frombuffer(c.data.tobytes().translate(_LOWER), np.uint8), c.offs))
                 cut = np.searchsorted(t, np.arange(c.n + 1))
                 sets += [np.unique(g[x:y]).tobytes() for x, y in zip(cut.tolist(), cut[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "shingles"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(sets, pa.binary())], names=["set", "node", "shingles"])
 
-    return docs.select("node", "text").mapInArrow(run, "node long, shingles binary")
+    return docs.select("set", "node", "text").mapInArrow(run, "set long, node long, shingles binary")
 
 
 def _blocks() -> Column:
@@ -340,27 +340,32 @@ def similar(docs: DataFrame) -> DataFrame:
     texts = rows.dropDuplicates(["node"]).select("node", "fp", "segments", "bins")
     keyed = texts.select("node", F.posexplode("segments").alias("segment", "key"))
     sizes = keyed.groupBy("segment", "key").agg(F.count("*").alias("n")).where("n > 1")
-    met = keyed.join(sizes, ["segment", "key"]).select("node", "segment", "key", _blocks())
-    met = met.join(texts.select("node", "bins"), "node")
+    met = merged(keyed, sizes, ["segment", "key"]).select("node", "segment", "key", _blocks())
+    met = merged(met, texts.select("node", "bins"), ["node"])
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sets = met.repartition(parts, "segment", "key", "more").groupBy("segment", "key", "more").applyInPandas(_near, "set long, node long")
     sets = saved(sets.distinct(), folder, "sets")
-    wanted = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"), "text").join(sets.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
-    near = sets.join(shingle_sets(wanted), "node").repartition(parts, "set").groupBy("set").applyInPandas(_alike, "a long, b long")
+    keyed = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"), "text")
+    wanted = merged(keyed, sets.select("node").distinct(), ["node"], "left_semi").dropDuplicates(["node"])
+    # texts lie by node already, so sets come to them; shingles travel once, to their set
+    near = shingle_sets(merged(wanted, sets, ["node"])).repartition(parts, "set").groupBy("set").applyInPandas(_alike, "a long, b long")
     prints = texts.groupBy("fp").agg(F.min("node").alias("head"))
-    equal = texts.join(prints, "fp").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
+    equal = merged(texts, prints, ["fp"]).where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
     close = links(prints.select("fp"), folder)
-    close = close.join(prints.selectExpr("fp as a", "head as x"), "a").join(prints.selectExpr("fp as b", "head as y"), "b").selectExpr("x as a", "y as b")
+    close = merged(close, prints.selectExpr("fp as a", "head as x"), ["a"])
+    close = merged(close, prints.selectExpr("fp as b", "head as y"), ["b"]).selectExpr("x as a", "y as b")
     edges = saved(near.unionByName(equal).unionByName(close), folder, "near")
     roots = components(edges, folder)
-    named = rows.select("doc_id", "node").distinct().join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = merged(rows.select("doc_id", "node").distinct(), roots, ["node"], "left").withColumn("root", F.coalesce("root", "node"))
     first = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("first"))
-    return named.join(first, "root").select("doc_id", "node", (F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.node") == F.col("node"))).alias("stays"))
+    return merged(named, first, ["root"]).select("doc_id", "node", (F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.node") == F.col("node"))).alias("stays"))
 
 
 def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one document of each class of near-duplicates stays."""
-    stays = similar(docs.select("doc_id", "text")).where("stays").select(F.col("doc_id").alias("_id"), F.col("node").alias("_node"))
-    keyed = docs.withColumn("_node", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn("_id", F.col("doc_id").cast("long"))
-    found = keyed.join(stays, keyed["_id"].eqNullSafe(stays["_id"]) & (keyed["_node"] == stays["_node"]), "left_semi")
-    return found.dropDuplicates(["_id", "_node"]).select(*docs.columns)
+    # null ids have a column of their own, so that the join and what follows share one shuffle of the texts
+    key = {"_none": F.col("doc_id").cast("long").isNull(), "_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0))}
+    stays = similar(docs.select("doc_id", "text")).where("stays").withColumns(key).select(*key, F.col("node").alias("_node"))
+    keyed = docs.withColumns(key | {"_node": F.xxhash64(F.coalesce("text", F.lit("")))})
+    found = merged(keyed, stays, ["_none", "_id", "_node"], "left_semi")
+    return found.dropDuplicates(["_none", "_id", "_node"]).select(*docs.columns)

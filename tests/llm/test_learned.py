@@ -209,6 +209,23 @@ def test_similar_texts(spark):
     assert kept & {950, 951, 952, 953, None} == {950, 952}
 
 
+def test_near_duplicates_broadcast_nothing(spark, monkeypatch):
+    """No table goes through the driver, and the stage's last step shuffles whole documents once."""
+    plans, usual = [], simhash.saved
+
+    def spied(df, folder, name):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return usual(df, folder, name)
+
+    monkeypatch.setattr(simhash, "saved", spied)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    out = simhash.stage_near_duplicates(spark, docs, SF)
+    last = out._jdf.queryExecution().executedPlan().toString()
+    assert {"sets", "met", "near", "star1"} <= {name for name, _ in plans}
+    assert not [name for name, plan in [*plans, ("result", last)] if "Broadcast" in plan]
+    assert len(re.findall(r"Exchange hashpartitioning\(_none", last)) == last.count("Exchange hashpartitioning(_none#") == 2, last
+
+
 def _overlapping(rng, n, kept):
     """Two texts that share their first `kept` of `n` words: J = (kept - 4) / (2 * (n - 4) - (kept - 4))."""
     base = _text(rng, n).split()
