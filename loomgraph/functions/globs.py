@@ -20,11 +20,17 @@ class Glob:
     prefix: int  # characters before the first star
     stars: int  # a double star counts as two
 
+    @property
+    def directory(self) -> str | None:
+        """The directory of which the glob takes every file below, else None."""
+        head = self.text[: self.prefix]
+        return head[:-1] if self.text == head + "**" and head.endswith("/") else None
+
     def matches(self, path: Column) -> Column:
         """A plain prefix test where the glob is one, tests of both ends where it has one star, else the
         regular expression behind its literal prefix, which turns most paths away without it."""
         head = self.text[: self.prefix]
-        if self.text == head + "**" and head.endswith("/"):
+        if self.directory is not None:
             return path.startswith(head)
         if self.stars == 1:
             tail = self.text[self.prefix + 1 :]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import specifier_prefix, target_tags
 from ..sources.config import Config
-from .membership import computed, module_of, owner_of, tags_of
+from .membership import computed, module_of, on_surface, tags_of
 
 
 def resolve(imports: DataFrame, resolutions: DataFrame) -> DataFrame:
@@ -20,8 +20,9 @@ def with_membership(edges: DataFrame, config: Config) -> DataFrame:
     surface flag. All of it is computed within the row, so no file table is joined."""
     builtin = F.col("is_builtin") if "is_builtin" in edges.columns else F.lit(False)
     target = target_tags(F.col("external_package"), builtin, tags_of(F.col("resolved_file"), config))
-    out = computed(edges, from_module=module_of(F.col("from_file"), config), from_tags=tags_of(F.col("from_file"), config), to_tags=target, _to=owner_of(F.col("resolved_file"), config))
-    return out.select("*", F.col("_to.name").alias("to_module"), F.coalesce("_to.surface", F.lit(False)).alias("to_surface")).drop("_to")
+    source, path = F.col("from_file"), F.col("resolved_file")
+    out = computed(edges, from_module=module_of(source, config), to_module=module_of(path, config))
+    return out.withColumns({"from_tags": tags_of(source, config), "to_tags": target, "to_surface": on_surface(path, F.col("to_module"), config)})
 
 
 def cross_module(edges: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..errors import ReportError
 from ..functions.expressions import directory_tag
-from ..functions.globs import Glob, any_match, compile_glob, relative_glob
+from ..functions.globs import Glob, any_match, base_directory, compile_glob, relative_glob
 from ..sources.config import Config, Module
 
 
@@ -24,12 +24,29 @@ def _candidates(path: Column, entries: Sequence[tuple[Glob, Column]]) -> Column:
 
 
 def best_match(path: Column, entries: Sequence[tuple[Glob, Column]]) -> Column:
-    """The value of the most specific matching entry (the earliest among equals), else null: a chain
-    of conditions in order of specificity, which stops at the first that holds."""
-    out = None
+    """The value (a literal) of the most specific matching entry (the earliest among equals), else null.
+
+    Conditions stand in order of specificity. Whole directories in a row are looked up in one literal map
+    for each depth, the deepest first, as of two that hold a path the deeper has the longer prefix: a
+    condition for each of them would outgrow what the JVM compiles."""
+    steps: list[Column] = []
+    run: dict[int, dict[str, Column]] = {}
+
+    def flush() -> None:
+        for depth, values in sorted(run.items(), reverse=True):
+            key = F.substring_index(path, "/", depth)
+            found = F.try_element_at(F.create_map(*(x for k, v in values.items() for x in (F.lit(k), v))), key)
+            steps.append(F.when(F.octet_length(key) < F.octet_length(path), found))  # else the path ends there
+        run.clear()
+
     for g, value in sorted(entries, key=lambda e: (-e[0].prefix, e[0].stars)):
-        out = F.when(g.matches(path), value) if out is None else out.when(g.matches(path), value)
-    return out if out is not None else F.lit(None).cast("string")
+        if g.directory is not None:
+            run.setdefault(g.directory.count("/") + 1, {}).setdefault(g.directory, value)
+        else:
+            flush()
+            steps.append(F.when(g.matches(path), value))
+    flush()
+    return F.coalesce(*steps) if steps else F.lit(None).cast("string")
 
 
 def ambiguous(path: Column, entries: Sequence[tuple[Glob, Column]]) -> Column:
@@ -77,25 +94,36 @@ def surface_globs(module: Module, config: Config) -> list[str]:
     return [relative_glob(module.globs[0], g) if not g.startswith("src/") else g for g in (module.surface or config.surface)]
 
 
-def owner_of(path: Column, config: Config) -> Column:
-    """struct<name, surface> of a path: its module, and whether it is one of that module's public
-    files. One chain of conditions, so no module is tested against another's surface."""
-    entries = [(compile_glob(g), F.struct(F.lit(m.name).alias("name"), any_match(path, surface_globs(m, config)).alias("surface"))) for m in config.modules for g in m.globs]
-    none = F.struct(F.lit(None).cast("string").alias("name"), F.lit(False).alias("surface"))
-    return F.coalesce(best_match(path, entries), none) if entries else none
+def on_surface(path: Column, module: Column, config: Config) -> Column:
+    """Whether a path is one of the public files of `module`, its module (null: of none).
+
+    Modules that say the same of files below their directories share one test of the rest of the path."""
+    groups: dict[tuple[int, tuple[str, ...]], list[str]] = {}
+    out = F.lit(False)
+    for m in config.modules:
+        head, globs = base_directory(m.globs[0]) + "/", surface_globs(m, config)
+        if head != "/" and all(g.split("*", 1)[0].startswith(head) for g in (*m.globs, *globs)):
+            groups.setdefault((head.count("/"), tuple(g[len(head) :] for g in globs)), []).append(m.name)
+        else:
+            out = out | ((module == m.name) & any_match(path, globs))
+    for (depth, globs), names in groups.items():
+        rest = F.substring(path, F.length(F.substring_index(path, "/", depth)) + 2, F.length(path))
+        out = out | (module.isin(*names) & any_match(rest, list(globs)))
+    return F.coalesce(out, F.lit(False))
 
 
 def computed(df: DataFrame, **columns: Column) -> DataFrame:
     """`df` with columns that are computed once a row. They pass a generator, through which the
-    optimiser does not push filters on them: a filter over five uses of a long chain of conditions
-    would otherwise evaluate the chain five times and outgrow what the JVM compiles."""
+    optimiser does not push filters on them, so each is evaluated once. They are computed even where
+    nothing reads them: only for what nearly every reader needs."""
     return df.select("*", F.inline(F.array(F.struct(*(c.alias(k) for k, c in columns.items())))))
 
 
 def files_with_membership(files: DataFrame, config: Config) -> DataFrame:
     """`files` (path) with module, tags and surface."""
-    out = computed(files, _owner=owner_of(F.col("path"), config), tags=tags_of(F.col("path"), config))
-    return out.select("*", F.col("_owner.name").alias("module"), F.col("_owner.surface").alias("surface")).drop("_owner")
+    path = F.col("path")
+    out = computed(files, module=module_of(path, config))
+    return out.withColumns({"tags": tags_of(path, config), "surface": on_surface(path, F.col("module"), config)})
 
 
 def assert_unambiguous(files: DataFrame, config: Config) -> None:

@@ -303,3 +303,44 @@ def test_stream_equals_batch(spark, small, tmp_path):
     changes = spark.readStream.schema(raw.schema).parquet(str(tmp_path / "in")).selectExpr("from_file as path", "line")
     keep_snapshot(changes, str(tmp_path / "snap"), str(tmp_path / "state")).awaitTermination()
     assert store.read_snapshot(spark, str(tmp_path / "snap"), "path string, line int").count() == raw.select("from_file").distinct().count()
+
+
+# -- growth ------------------------------------------------------------------------------------
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def _graph_edges(spark):
+    from loomgraph import queries as Q
+
+    return Q, Q.graph(spark, "/root/testdata/sf0.001")
+
+
+def test_unread_tags_and_surfaces_are_not_computed(spark):
+    """Counting pairs of modules needs neither; a condition for each directory outgrows the JVM's compiler."""
+    Q, e = _graph_edges(spark)
+    plan = _plan(Q.edges.edge_counts(e))
+    assert "zone:east" not in plan and "@types" not in plan and "StartsWith" not in plan
+
+
+def test_statements_are_not_sorted_to_be_joined(spark):
+    Q, e = _graph_edges(spark)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        for df in (Q.edges.edge_counts(e), Q.mining.covering_prefix(e)):
+            plan = df._jdf.queryExecution().sparkPlan().toString()
+            assert plan.count("ShuffledHashJoin") >= 4, plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_directories_of_several_depths_and_other_globs(spark):
+    """Lookups by depth give what testing each glob in order of specificity gives."""
+    globs = ["a/**", "a/b/**", "a/b*/**", "a/b/c/**", "a/b/c/d.ts", "**/x.ts", "longer/**", "a/b/**", "a//**", "/**"]
+    entries = [(compile_glob(g), F.lit(f"{i}")) for i, g in enumerate(globs)]
+    paths = ["a", "a/", "a/x", "a/b", "a/b/", "a/b/y", "a/bb/y", "a/b/c", "a/b/c/e", "a/b/c/d.ts", "q/x.ts", "x.ts", "longer/z", "longer", "", "/r", "a//k", None]
+    order = sorted(range(len(globs)), key=lambda i: (-entries[i][0].prefix, entries[i][0].stars))
+    want = {p: next((str(i) for i in order if p is not None and entries[i][0].test(p)), None) for p in paths}
+    got = {r.p: r.v for r in spark.createDataFrame([(p,) for p in paths], "p string").select("p", membership.best_match(F.col("p"), entries).alias("v")).collect()}
+    assert got == want
