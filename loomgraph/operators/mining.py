@@ -70,10 +70,15 @@ def confined_packages(edges: DataFrame, most: int = 3) -> DataFrame:
 def between(edges: DataFrame, left: Column, right: Column) -> DataFrame:
     """Statements from modules that `left` describes to those that `right` does, and back. Both are
     columns over `name`."""
-    n = edge_counts(edges)
-    names = n.select(F.col("from_module").alias("name")).union(n.select(F.col("to_module").alias("name"))).distinct().select("name", left.alias("l"), right.alias("r"))
-    rows = n.join(names.selectExpr("name as from_module", "l as fl", "r as fr"), "from_module").join(names.selectExpr("name as to_module", "l as tl", "r as tr"), "to_module")
+    rows = edge_counts(edges)
+    for end in ("from", "to"):
+        rows = _described(rows, f"{end}_module", **{f"{end[0]}l": left, f"{end[0]}r": right})
     return rows.agg(F.coalesce(F.sum(F.when(F.col("fl") & F.col("tr"), F.col("n"))), F.lit(0)).alias("forward"), F.coalesce(F.sum(F.when(F.col("fr") & F.col("tl"), F.col("n"))), F.lit(0)).alias("backward"))
+def _described(pairs: DataFrame, end: str, **columns: Column) -> DataFrame:
+    """`pairs` with columns over `name` taken at one end: no join, which would read all edges again."""
+    return pairs.withColumn("name", F.col(end)).withColumns(columns).drop("name")
+
+
 
 
 def segment_pattern(pattern: str, base: Column | None = None) -> Column:
@@ -100,14 +105,23 @@ def directed_pattern(edges: DataFrame, name: str) -> DataFrame:
 def feature_isolation(edges: DataFrame, container: Column, kernel_key: str = "kernel") -> DataFrame:
     """Per container of sibling features (column over `name`): statements among siblings and the
     module outside that all of them use most."""
-    n = edge_counts(edges)
-    names = n.select(F.col("from_module").alias("name")).union(n.select(F.col("to_module").alias("name"))).distinct().select("name", container.alias("c"))
-    rows = n.join(names.selectExpr("name as from_module", "c as fc"), "from_module").join(names.selectExpr("name as to_module", "c as tc"), "to_module").where("fc is not null")
-    siblings = names.where("c is not null").groupBy("c").agg(F.count("*").alias("siblings")).where("siblings > 1")
-    among = rows.groupBy("fc").agg(F.sum(F.when(F.col("fc") == F.col("tc"), F.col("n")).otherwise(0)).alias("among"), F.sum("n").alias("total"))
-    used = rows.where("tc is null or fc <> tc").groupBy("fc", "to_module").agg(F.sum("n").alias("u"))
-    kernel = used.groupBy("fc").agg(F.max_by("to_module", F.struct("u", "to_module")).alias(kernel_key))
-    return siblings.join(among, siblings.c == among.fc).drop("fc").join(kernel, siblings.c == kernel.fc, "left").drop("fc")
+    rows = _described(_described(edge_counts(edges), "from_module", fc=container), "to_module", tc=container)
+    outside = F.col("tc").isNull() | (F.col("fc") != F.col("tc"))
+    none = F.lit(0).cast("long")
+    ends = rows.select(
+        F.inline(
+            F.array(
+                F.struct(F.col("fc").alias("c"), F.col("from_module").alias("member"), F.when(outside, F.col("to_module")).alias("used"), F.when(outside, none).otherwise(F.col("n")).alias("among"), "n"),
+                F.struct(F.col("tc").alias("c"), F.col("to_module").alias("member"), F.lit(None).cast("string").alias("used"), none.alias("among"), none.alias("n")),
+            )
+        )
+    ).where("c is not null")
+    # one aggregate of the pairs after the other; a container's members are few, as they are modules
+    by_use = ends.groupBy("c", "used").agg(F.sum("n").alias("u"), F.sum("among").alias("among"), F.collect_set("member").alias("members"))
+    kernel = F.max_by("used", F.when(F.col("used").isNotNull(), F.struct("u", "used")))
+    siblings = F.size(F.array_distinct(F.flatten(F.collect_list("members")))).cast("long")
+    out = by_use.groupBy("c").agg(siblings.alias("siblings"), F.sum("among").alias("among"), F.sum("u").alias("total"), kernel.alias(kernel_key))
+    return out.where("siblings > 1 and total > 0")
 
 
 def map_notes(files: DataFrame, least: int = 8) -> DataFrame:
