@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import ReportError
@@ -53,6 +53,15 @@ def debt_by_rule(ledger: DataFrame) -> DataFrame:
     return rows.groupBy("todo_module").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("rule", "n")))).alias("debt"), F.sum("n").alias("entries"))
 
 
+def change_counts(findings: DataFrame, before: Column, after: Column) -> DataFrame:
+    """(change, n) of fingerprints, where conditions say which findings were there before and after: as
+    `delta` of the two counted by distinct keys, in one pass that shuffles keys instead of six."""
+    rows = findings.withColumns({"_before": before, "_after": after}).where("_before or _after")
+    keys = with_fingerprint(rows).groupBy(*KEY).agg(F.bool_or("_before").alias("b"), F.bool_or("_after").alias("a"))
+    change = F.when(~F.col("b"), "added").when(~F.col("a"), "resolved").otherwise("unchanged")
+    return keys.groupBy(change.alias("change")).agg(F.count("*").alias("n"))
+
+
 def delta(before: DataFrame, after: DataFrame) -> DataFrame:
     """(change, ...) of findings by fingerprint: added, resolved or unchanged."""
     b, a = with_fingerprint(before), with_fingerprint(after)

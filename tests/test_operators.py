@@ -351,3 +351,10 @@ def test_edges_are_read_once(spark, name):
     """A query that uses an aggregate of the edges twice would join line items twice."""
     Q, _ = _graph_edges(spark)
     assert _plan(Q.QUERIES[name](spark, "/root/testdata/sf0.001")).count("l_partkey") and _plan(Q.QUERIES[name](spark, "/root/testdata/sf0.001")).count("Relation [l_orderkey") == 1
+
+
+def test_change_counts_equal_delta(spark):
+    rows = [("public-surface-bypass", f"p{i % 7}", i, i, "e", f"m{i % 3}", f"s{i % 5}", "t") for i in range(60)]
+    found = spark.createDataFrame(rows, "rule string, path string, line long, col long, evidence string, todo_module string, specifier string, target string")
+    want = {r.change: r.n for r in ledger.delta(found.where("col % 4 < 2"), found.where("col % 4 > 0")).select("change", *ledger.KEY).distinct().groupBy("change").agg(F.count("*").alias("n")).collect()}
+    assert {r.change: r.n for r in ledger.change_counts(found, F.col("col") % 4 < 2, F.col("col") % 4 > 0).collect()} == want
