@@ -41,10 +41,17 @@ def layered_order(edges: DataFrame, small: int = SMALL) -> DataFrame:
     return spark.createDataFrame([(k, v, forward / (forward + back)) for k, v in (level or {}).items()], "name string, level int, support double")
 
 
+def spread(rows: DataFrame, *keys: str, least: int = 200) -> DataFrame:
+    """`rows` in many parts by `keys`, before an aggregate that hardly shrinks them: its hash maps then
+    hold a small part of the rows, and there is none on the way. Spark's shuffle writes up to 200
+    parts without sorting or buffering rows."""
+    return rows.repartition(max(least, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *keys)
+
+
 def covering_prefix(edges: DataFrame) -> DataFrame:
     """The fewest most-imported files of each module that take four fifths of its importers:
     (module, file, importers, covered so far, total)."""
-    pairs = cross_module(edges).select("to_module", "resolved_file", "from_file").distinct()
+    pairs = spread(cross_module(edges).select("to_module", "resolved_file", "from_file"), "resolved_file").distinct()
     n = pairs.groupBy("to_module", "resolved_file").agg(F.count("*").alias("importers"))
     w = Window.partitionBy("to_module")
     running = F.sum("importers").over(w.orderBy(F.desc("importers"), "resolved_file").rowsBetween(Window.unboundedPreceding, 0))
@@ -67,6 +74,11 @@ def confined_packages(edges: DataFrame, most: int = 3) -> DataFrame:
     return one.orderBy(F.desc("n"), "external_package").limit(most).select("external_package", "module", "n")
 
 
+def _described(pairs: DataFrame, end: str, **columns: Column) -> DataFrame:
+    """`pairs` with columns over `name` taken at one end: no join, which would read all edges again."""
+    return pairs.withColumn("name", F.col(end)).withColumns(columns).drop("name")
+
+
 def between(edges: DataFrame, left: Column, right: Column) -> DataFrame:
     """Statements from modules that `left` describes to those that `right` does, and back. Both are
     columns over `name`."""
@@ -74,11 +86,6 @@ def between(edges: DataFrame, left: Column, right: Column) -> DataFrame:
     for end in ("from", "to"):
         rows = _described(rows, f"{end}_module", **{f"{end[0]}l": left, f"{end[0]}r": right})
     return rows.agg(F.coalesce(F.sum(F.when(F.col("fl") & F.col("tr"), F.col("n"))), F.lit(0)).alias("forward"), F.coalesce(F.sum(F.when(F.col("fr") & F.col("tl"), F.col("n"))), F.lit(0)).alias("backward"))
-def _described(pairs: DataFrame, end: str, **columns: Column) -> DataFrame:
-    """`pairs` with columns over `name` taken at one end: no join, which would read all edges again."""
-    return pairs.withColumn("name", F.col(end)).withColumns(columns).drop("name")
-
-
 
 
 def segment_pattern(pattern: str, base: Column | None = None) -> Column:
