@@ -11,8 +11,9 @@ from .membership import computed, module_of, on_surface, tags_of
 
 
 def resolve(imports: DataFrame, resolutions: DataFrame) -> DataFrame:
-    """Left equi-join on (file, specifier, mode): an import without a resolution stays, unresolved."""
-    return imports.join(resolutions, ["file", "specifier", "mode"], "left")
+    """Left equi-join on (file, specifier, mode): an import without a resolution stays, unresolved.
+    Resolutions that hold in every file come without one."""
+    return imports.join(resolutions, [c for c in ("file", "specifier", "mode") if c in resolutions.columns], "left")
 
 
 def with_membership(edges: DataFrame, config: Config) -> DataFrame:
