@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import specifier_prefix, target_tags
@@ -38,16 +38,21 @@ def edge_counts(edges: DataFrame) -> DataFrame:
 def fan(edges: DataFrame, modules: DataFrame) -> DataFrame:
     """Distinct modules that use, and are used by, every module (name); none is zero."""
     pairs = cross_module(edges).select("from_module", "to_module").distinct()
-    fan_in = pairs.groupBy(F.col("to_module").alias("name")).agg(F.count("*").alias("fan_in"))
-    fan_out = pairs.groupBy(F.col("from_module").alias("name")).agg(F.count("*").alias("fan_out"))
-    return modules.join(fan_in, "name", "left").join(fan_out, "name", "left").na.fill(0, ["fan_in", "fan_out"])
+    ends = _both_ends(pairs, fan_in=(F.lit(0), F.lit(1)), fan_out=(F.lit(1), F.lit(0)))
+    return modules.join(ends, "name", "left").na.fill(0, ["fan_in", "fan_out"])
 
 
 def traffic(edges: DataFrame) -> DataFrame:
     """Statements into and out of every module."""
-    pairs = edge_counts(edges)
-    both = pairs.select(F.col("from_module").alias("name"), F.lit(0).cast("long").alias("n_in"), F.col("n").alias("n_out")).unionByName(pairs.select(F.col("to_module").alias("name"), F.col("n").alias("n_in"), F.lit(0).cast("long").alias("n_out")))
-    return both.groupBy("name").agg(F.sum("n_in").alias("n_in"), F.sum("n_out").alias("n_out"))
+    n, none = F.col("n"), F.lit(0).cast("long")
+    return _both_ends(edge_counts(edges), n_in=(none, n), n_out=(n, none))
+
+
+def _both_ends(pairs: DataFrame, **counts: tuple[Column, Column]) -> DataFrame:
+    """(name, ...) of each module in `pairs`: sums of a count as importing and of one as imported module.
+    Each pair goes both ways in one pass; a second use of `pairs` would read all edges again."""
+    sides = [F.struct(F.col(end).alias("name"), *(c[k].alias(name) for name, c in counts.items())) for k, end in enumerate(("from_module", "to_module"))]
+    return pairs.select(F.inline(F.array(*sides))).groupBy("name").agg(*(F.sum(c).alias(c) for c in counts))
 
 
 def representative(edges: DataFrame) -> DataFrame:
