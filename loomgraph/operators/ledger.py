@@ -26,7 +26,7 @@ def freeze(findings: DataFrame, strict: tuple[str, ...], n_uncovered: int) -> Da
 def prune(ledger: DataFrame, findings: DataFrame, modules: list[str]) -> DataFrame:
     """Entries that still match, rewritten from the live findings; never a new one."""
     live = with_fingerprint(findings).select("todo_module", "rule", "path", "evidence", "specifier", "target", "fp").dropDuplicates(KEY)
-    return live.join(ledger.where(F.col("todo_module").isin(*modules)), KEY, "left_semi")
+    return live.where(F.col("todo_module").isin(*modules)).join(ledger.where(F.col("todo_module").isin(*modules)), KEY, "left_semi")
 
 
 def suppress(findings: DataFrame, ledger: DataFrame, strict: tuple[str, ...] = ()) -> DataFrame:
